@@ -1,4 +1,8 @@
-"""A corpus from raw documents to packed sequences, stage by stage."""
+"""A training corpus from raw documents to packed sequences, stage by stage.
+
+Each stage takes the documents that the stage before it kept (every one of them, with the columns of `documents`) and
+returns those that it keeps; the last returns the pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkquarry.llm import common, minhash, packing
+from linkquarry.llm import common, decontaminate, linededup, minhash, packing, toxicity
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go. It is fitted on the labels' rows that aren't held out."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines whose class stands earlier in the corpus go; every document stays, with n_chars of what is left of it."""
+    return linededup.clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,13 +28,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return minhash.deduplicate(docs)
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in sequences of at most 1024: a row for each piece."""
     return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", without_toxic),
+    ("line_dedup", line_dedup),
     ("near_duplicates", near_duplicates),
-    ("pack", pack),
+    ("decontamination", decontaminated),
+    ("packing", pack),
 ]
 
 #: Fitted scores, token ids and packing are not for SQL: tests hold the stages against brute force.
