@@ -25,7 +25,7 @@ from .minhash import _TABLE, _words
 
 #: The hash that stands for the end of a document; as a context, for its start.
 END = np.uint64(0x5851F42D4C957F2D)
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 BUCKETS = 48
 #: Of the training documents every so many is held out of the counts that weights are learned on.
 DELETED_ONE_IN = 8
@@ -44,6 +44,20 @@ def fold(doc_id: int | None) -> tuple[bool, bool]:
     return held, not held and crc // 5 % DELETED_ONE_IN == 0
 
 
+def squeezed(codes: np.ndarray) -> bytes:
+    """Unsigned 32-bit codes byte by byte of all codes (the upper ones are few), compressed: they are shuffled so."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(codes).view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unsqueezed(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1)
+
+
 def batches_of(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -68,7 +82,7 @@ def batches_of(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
                     names = iter(code)
                     next(names)
                     vocab = np.concatenate(([END], np.fromiter(map(_words.__getitem__, names), np.uint64, len(code) - 1)))
-                    yield pa.RecordBatch.from_arrays([pa.array([number + dev], pa.int64()), pa.array([dev]), pa.array([[d for d, _ in part]], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([[not fold(d)[0] for d, _ in part]], pa.list_(pa.bool_())), pa.array([vocab.tobytes()], pa.binary()), pa.array([np.concatenate(held).tobytes()], pa.binary())], names=[x.split()[0] for x in BATCH.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array([number + dev], pa.int64()), pa.array([dev]), pa.array([[d for d, _ in part]], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([[not fold(d)[0] for d, _ in part]], pa.list_(pa.bool_())), pa.array([vocab.tobytes()], pa.binary()), pa.array([squeezed(np.concatenate(held))], pa.binary())], names=[x.split()[0] for x in BATCH.split(", ")])
             number += 2
 
     return docs.select("doc_id", "text").mapInArrow(run, BATCH)
@@ -79,7 +93,7 @@ class Batch:
 
     def __init__(self, row: dict, parts: int):
         self.doc_ids, self.sizes, self.train = row["doc_ids"], np.array(row["sizes"], np.int64), np.array(row["train"], bool)
-        self.vocab, self.codes = np.frombuffer(row["vocab"], np.uint64), np.frombuffer(row["codes"], np.uint32)
+        self.vocab, self.codes = np.frombuffer(row["vocab"], np.uint64), unsqueezed(row["codes"])
         before = np.concatenate((np.zeros(1, np.uint32), self.codes[:-1]))
         pair = before.astype(np.uint64) * np.uint64(len(self.vocab)) + self.codes
         grams, self.gram_of = np.unique(pair, return_inverse=True)
@@ -116,7 +130,8 @@ def ask(batches: DataFrame, parts: int) -> DataFrame:
                 for p in kept:
                     for i, c in enumerate(cols):
                         cut = x.u_cut if i < 3 else x.g_cut
-                        out[i].append(c[cut[p] : cut[p + 1]].tobytes())
+                        part = c[cut[p] : cut[p + 1]]
+                        out[i].append(part.tobytes() if i % 3 == 0 else squeezed(part))
                 yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array([row["b"]] * len(kept), pa.int64()), pa.array([row["dev"]] * len(kept)), *(pa.array(c, pa.binary()) for c in out)], names=[c.split()[0] for c in ASK.split(", ")])
 
     return batches.mapInArrow(run, ASK)
@@ -127,7 +142,7 @@ def _summed(table: pa.Table, kind: str) -> tuple[list[bytes], list[bytes], int,
     part's sum."""
     parts = table.column(f"{kind}_hash").to_pylist()
     hashes = np.frombuffer(b"".join(parts), np.uint64)
-    n, dev = (np.frombuffer(b"".join(table.column(f"{kind}_{c}").to_pylist()), np.uint32) for c in ("n", "dev"))
+    n, dev = (np.concatenate([unsqueezed(x) for x in table.column(f"{kind}_{c}").to_pylist()]) for c in ("n", "dev"))
     order = np.argsort(hashes, kind="stable")
     ranked = hashes[order]
     new = np.concatenate((np.ones(min(1, len(ranked)), bool), ranked[1:] != ranked[:-1]))
@@ -136,7 +151,7 @@ def _summed(table: pa.Table, kind: str) -> tuple[list[bytes], list[bytes], int,
     k = int(new.sum())
     total, gone = (np.bincount(at, c, k).astype(np.uint32) for c in (n, dev))
     ends = np.cumsum([len(x) // 8 for x in parts])[:-1]
-    return [x.tobytes() for x in np.split(total[at], ends)], [x.tobytes() for x in np.split(gone[at], ends)], int(total.sum(dtype=np.int64)), int((total > 0).sum()), int(gone.sum(dtype=np.int64))
+    return [squeezed(x) for x in np.split(total[at], ends)], [squeezed(x) for x in np.split(gone[at], ends)], int(total.sum(dtype=np.int64)), int((total > 0).sum()), int(gone.sum(dtype=np.int64))
 
 
 def tell(asked: DataFrame) -> DataFrame:
@@ -156,7 +171,7 @@ def _counts(x: Batch, told: pa.Table) -> tuple[np.ndarray, ...]:
         for c in ("n", "dev"):
             full = np.zeros(len(order), np.int64)
             for p, raw in zip(told.column("p").to_pylist(), told.column(f"{kind}_{c}").to_pylist(), strict=True):
-                full[order[cut[p] : cut[p + 1]]] = np.frombuffer(raw, np.uint32)
+                full[order[cut[p] : cut[p + 1]]] = unsqueezed(raw)
             out.append(full)
     return tuple(out)
 
