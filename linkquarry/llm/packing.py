@@ -199,8 +199,8 @@ def chunk_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capac
         end, made, seq = np.uint32(end_id).tobytes(), np.zeros(capacity + 1, np.int64), 0
         for batch in common.text_slices(batches, most=1 << 20):
             rows: list[tuple] = []
-            for d, raw in zip(batch.column("doc_id").to_pylist(), enc.encode(common.texts_of(batch)), strict=True):
-                raw += end
+            for d, whole in zip(batch.column("doc_id").to_pylist(), enc.each(common.texts_of(batch)), strict=True):
+                raw = whole.astype("<u4").tobytes() + end
                 total = len(raw) // 4
                 for at in range(0, total, capacity):
                     ids = raw[4 * at : 4 * (at + capacity)]

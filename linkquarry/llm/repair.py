@@ -211,8 +211,8 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([n], pa.int64()), pa.array([body], pa.binary())], names=["part", "block", "part_start", "n_docs", "n_ids", "body"])
 
         for batch in common.text_slices(batches, most=1 << 20):
-            for d, raw in zip(batch.column("doc_id").to_pylist(), enc.encode(common.texts_of(batch)), strict=True):
-                ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
+            for d, ids in zip(batch.column("doc_id").to_pylist(), enc.each(common.texts_of(batch)), strict=True):
+                ids = np.append(ids, np.uint32(end_id))
                 if held and n + len(ids) > block_ids:
                     yield out()
                     start, block, n = start + n, block + 1, 0

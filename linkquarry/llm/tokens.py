@@ -1,8 +1,9 @@
 """Byte-pair token ids of whole texts.
 
-The pre-tokenizer of byte-level BPE always starts a new piece at a space that is followed by a visible character, so
-a text's ids are the ids of its space-led pieces put together. Each distinct piece goes through the tokenizers library
-once and is then looked up; that gives the library's ids at several times its speed on whole texts.
+The pre-tokenizer of byte-level BPE always starts a new piece at a space that is followed by a visible character, and at
+a line feed between two visible ones. So a text's ids are the ids of the pieces between such places put together. Each
+distinct piece goes through the tokenizers library once, many at a time, and is then a number by which its ids are
+gathered; that gives the library's ids at several times its speed on whole texts.
 """
 
 from __future__ import annotations
@@ -10,80 +11,121 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+
 _CUT = re.compile(r" (?=[!-~\w])")
 
 
-class PieceEncoder:
-    """texts -> ids as little-endian unsigned 32-bit integers (bytes).
+class _Codes(dict):
+    """piece -> its number, in order of first use; `fresh` has the new pieces."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.fresh.append(piece)
+        return n
 
-    Two generations of at most `most_entries` pieces each are cached; the older one goes when the younger is full.
-    Special tokens' strings in a text are ordinary text.
-    """
 
-    def __init__(self, path: str, most_entries: int = 100_000, longest: int = 64):
+def _visible(c: str) -> bool:
+    return "!" <= c <= "~" or c.isalnum()
+
+
+class PieceEncoder:
+    """texts -> ids. It knows at most about `most_entries` pieces and `most_ids` ids of theirs, then starts anew. Special
+    tokens' strings in a text are ordinary text."""
+
+    def __init__(self, path: str, most_entries: int = 800_000, most_ids: int = 8_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most_entries, self.longest = most_entries, longest
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        #: by id: whether the token's first byte is a space
+        self.most_entries, self.most_ids = most_entries, most_ids
+        #: by id: whether the token's first byte is a space or a line feed
         self.leads = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
-            self.leads[i] = token.startswith("\u0120")
-
-    def _ids(self, text: str):
-        import numpy as np
-
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of pieces that hold no space and start visibly, each led by a space. They are encoded many at a time,
-        as one text; in its ids each piece starts at the next token that starts with a space."""
-        import numpy as np
-
-        found: dict[str, bytes] = {}
-        for k in range(0, len(pieces), 2000):
-            part = pieces[k : k + 2000]
-            ids = self._ids(" " + " ".join(part))
-            starts = np.flatnonzero(self.leads[ids]) * 4
-            assert len(starts) == len(part)
-            raw, ends = ids.tobytes(), [*starts[1:].tolist(), len(ids) * 4]
-            found.update(zip(part, (raw[a:b] for a, b in zip(starts.tolist(), ends, strict=True)), strict=True))
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        heads = [p.pop(0) for p in split]
-        missing = [p for p in set().union(*split) if p not in self.young]
-        # a space before white space or another odd character is no certain cut: those texts are split with care
-        odd = {p for p in missing if not p or not ("!" <= p[0] <= "~" or p[0].isalnum())}
-        spaced: dict[str, bytes] = {}
-        if odd:
-            for k, pieces in enumerate(split):
-                if not odd.isdisjoint(pieces):
-                    heads[k], *split[k] = _CUT.split(texts[k])
-            missing = [p for p in set().union(*split) if p not in self.young]
-            spaced = {p: self._ids(" " + p).tobytes() for p in missing if " " in p}
-        if len(self.young) > self.most_entries:
-            self.old, self.young = self.young, {}
-            missing = list(set().union(*split) - spaced.keys())
-        get = self.old.get
-        known = {p: found for p in missing if (found := get(p)) is not None}
-        known |= self._learn([p for p in missing if p not in known and p not in spaced])
-        self.young |= {p: v for p, v in known.items() if len(p) <= self.longest}
-        known = {p: v for p, v in known.items() if len(p) > self.longest} | spaced
-        find = self.young.__getitem__
-        if known:
-            young = self.young
-
-            def find(p: str) -> bytes:
-                return young[p] if p in young else known[p]
-
-        return [(self._ids(h).tobytes() if h else b"") + b"".join(map(find, p)) for h, p in zip(heads, split, strict=True)]
+            self.leads[i] = token.startswith(("\u0120", "\u010a"))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes = _Codes()
+        self.ids, self.start, self.size = np.empty(1 << 16, np.uint32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.n_ids = self.n_pieces = 0
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        while self.n_pieces + len(sizes) > len(self.size):
+            self.start, self.size = (np.concatenate((x, np.empty_like(x))) for x in (self.start, self.size))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        at = slice(self.n_pieces, self.n_pieces + len(sizes))
+        self.size[at] = sizes
+        self.start[at] = self.n_ids + np.cumsum(sizes) - sizes
+        self.n_ids += len(ids)
+        self.n_pieces += len(sizes)
+
+    def _learn(self) -> None:
+        """Encodes the fresh pieces in order. Those that hold no space and no line feed but a leading one go through the
+        library as one text, in whose ids each starts at the next token that starts so. A piece before which a cut isn't
+        certain (what stands there is white space or an odd character) has no ids."""
+        fresh, self.codes.fresh = self.codes.fresh, []
+        for k in range(0, len(fresh), 4096):
+            part = fresh[k : k + 4096]
+            odd = [not p or not _visible(p[0] if p[0] != "\n" else p[1:2] or " ") for p in part]
+            spaced = [" " in p or "\n" in p[1:] for p in part]
+            plain = [p if p[0] == "\n" else " " + p for p, o, x in zip(part, odd, spaced, strict=True) if not o and not x]
+            ids = self._whole("".join(plain))
+            at = np.flatnonzero(self.leads[ids])
+            assert len(at) == len(plain)
+            sizes = np.zeros(len(part), np.int64)
+            sizes[[i for i in range(len(part)) if not odd[i] and not spaced[i]]] = np.diff(np.append(at, len(ids)))
+            if any(spaced):  # these come from careful splits
+                cut = iter(np.split(ids, at[1:]) if len(at) else [])
+                each = [np.empty(0, np.uint32) if o else self._whole(" " + p) if x else next(cut) for p, o, x in zip(part, odd, spaced, strict=True)]
+                sizes = np.array([len(x) for x in each])
+                ids = np.concatenate(each)
+            self._keep(ids, sizes)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's end."""
+        if self.n_pieces > self.most_entries or self.n_ids > self.most_ids:
+            self._forget()
+        heads, split = [], []
+        for text in texts:
+            pieces = text.replace("\n", " \n").split(" ")
+            heads.append(pieces.pop(0))
+            split.append(pieces)
+        find = self.codes.__getitem__
+        got = [np.fromiter(map(find, p), np.int64, len(p)) for p in split]
+        self._learn()
+        # texts with an odd piece are split with care
+        careful = [k for k, c in enumerate(got) if len(c) and self.size[c].min() == 0]
+        for k in careful:
+            heads[k], *pieces = _CUT.split(texts[k])
+            got[k] = np.fromiter(map(find, pieces), np.int64, len(pieces))
+        if careful:
+            self._learn()
+        first = [self._whole(h) if h else np.empty(0, np.uint32) for h in heads]
+        out, ends, total = [], [], 0
+        for head, c in zip(first, got, strict=True):
+            size = self.size[c]
+            reach = np.cumsum(size)
+            n = int(reach[-1]) if len(reach) else 0
+            at = np.repeat(self.start[c] - reach + size, size) + np.arange(n)
+            out += [head, self.ids[at]]
+            total += len(head) + n
+            ends.append(total)
+        return np.concatenate(out) if out else np.empty(0, np.uint32), np.array(ends, np.int64)
+
+    def each(self, texts: list[str]) -> list[np.ndarray]:
+        ids, ends = self.encode(texts)
+        return np.split(ids, ends[:-1]) if texts else []
 
 
 _encoders: dict[str, PieceEncoder] = {}
