@@ -16,13 +16,19 @@ A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
 
+#: By application: the folder of a session that names none.
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. The cluster names it in spark.checkpoint.dir; only where that is
     unset (tests, a laptop) does the session get one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='linkquarry-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='linkquarry-')}"
+        found = _own_dirs[app]
     return found.rstrip("/")
 
 

@@ -7,6 +7,7 @@ ones; its position is kept. Any passage of w + k - 1 code points or more that tw
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -130,21 +131,25 @@ def edited_fingerprints(docs: DataFrame, how: Winnowing = Winnowing()) -> DataFr
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted(set(ids.approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (8 * n)))) if n > 1 else []
     cuts = [int(c) for c in cuts]
-    # range 0 holds the largest ids; a null is below all
-    rank = F.lit(len(cuts)) - F.size(F.filter(F.array([F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    part = F.coalesce(rank, F.lit(len(cuts))).cast("int").alias("part")
-    firsts = ids.select("doc_id", part).groupBy("part").agg(F.max("doc_id").alias("first"), F.count("*").alias("n")).orderBy("part").collect()
-    # the range before each range's first row, its neighbour among those that have rows
-    send = {(r.first): firsts[k - 1].part for k, r in enumerate(firsts)}
-    other = F.lit(None).cast("int")
-    for first, to in send.items():
-        other = F.when(F.col("doc_id").eqNullSafe(F.lit(first)), F.lit(to)).otherwise(other) if len(send) <= 1 else other
-    if len(send) > 1:
-        known = {k: v for k, v in send.items() if k is not None}
-        table = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), F.lit(v))]) if known else None
-        other = F.try_element_at(table, F.col("doc_id")) if known else other
-        if None in send:
-            other = F.when(F.col("doc_id").isNull(), F.lit(send[None])).otherwise(other)
+    # range 0 holds the largest ids; a null is below all. Cuts are counted in two steps, by groups of about the square
+    # root of their number, so a row isn't held against all of them.
+    group = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[k : k + group] for k in range(0, len(cuts), group)]
+    below = lambda values: F.size(F.filter(values, lambda c: c < F.col("doc_id")))
+    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    if cuts:
+        whole = below(longs([g[-1] for g in groups]))
+        inside = F.greatest(F.lit(0), F.coalesce(below(F.get(F.array(*map(longs, groups)), whole)), F.lit(0)))
+        rank = F.greatest(F.lit(0), F.lit(len(cuts)) - (whole * group + inside))
+    else:
+        rank = F.lit(0)
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(rank).cast("int").alias("part")
+    # the first id of each range that has rows goes to the one before it too, that of the first to the last
+    firsts = ids.select("doc_id", part).groupBy("part").agg(F.max("doc_id").alias("first")).orderBy("part").collect()
+    first, before = [None] * (len(cuts) + 1), [0] * (len(cuts) + 1)
+    for k, r in enumerate(firsts):
+        first[r.part], before[r.part] = r.first, firsts[k - 1].part
+    other = F.when(F.col("doc_id").eqNullSafe(F.get(longs(first), part)), F.get(F.array(*[F.lit(v) for v in before]), part))
     own = rows.select("doc_id", "text", part, other.alias("other"))
     dealt = own.select("doc_id", "text", F.explode(F.when(F.col("other").isNull(), F.array(F.struct("part", F.lit(False).alias("tail")))).otherwise(F.array(F.struct("part", F.lit(False).alias("tail")), F.struct(F.col("other").alias("part"), F.lit(True).alias("tail"))))).alias("at"))
     dealt = dealt.select("doc_id", "text", "at.part", "at.tail").repartitionById(len(cuts) + 1, F.col("part"))
