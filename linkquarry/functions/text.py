@@ -155,12 +155,11 @@ def grams(c: Column, n: int) -> Column:
 
 
 def gram_cosine(a: Column, b: Column, grams_a: Column, grams_b: Column) -> Column:
-    """Cosine of two gram sets: 1 for equal texts and for two empty sets, 0 if one is empty."""
-    x, y = F.size(grams_a), F.size(grams_b)
-    return (
-        F.when((x == 0) & (y == 0), 1.0).when((x == 0) | (y == 0), 0.0).when(a == b, 1.0)
-        .otherwise(F.size(F.array_intersect(grams_a, grams_b)) / (F.sqrt(x.cast("double")) * F.sqrt(y.cast("double"))))
-    )
+    """Cosine of two gram sets: exactly 1 for equal sets (so for two empty ones), 0 if one is empty. Equal texts aren't
+    intersected."""
+    x, y, both = F.size(grams_a), F.size(grams_b), F.size(F.array_intersect(grams_a, grams_b))
+    some = F.when((both == x) & (both == y), 1.0).otherwise(both / (F.sqrt(x.cast("double")) * F.sqrt(y.cast("double"))))
+    return F.when((x == 0) & (y == 0), 1.0).when((x == 0) | (y == 0), 0.0).when(a == b, 1.0).otherwise(some)
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

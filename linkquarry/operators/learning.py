@@ -40,10 +40,10 @@ def train(training: DataFrame, validation: DataFrame | None = None, how: Boostin
     """Fits on feature rows with labels; with validation rows boosting stops when they don't improve. Saved to path."""
     check_training(training)
     rows = training.select(*FEATURES, F.col("label").cast("double").alias("label"), F.lit(False).alias("held"))
-    gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=how.trees, stepSize=how.rate, maxDepth=how.depth, subsamplingRate=how.rows, featureSubsetStrategy=how.columns, seed=how.seed)
+    gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=how.trees, stepSize=how.rate, maxDepth=how.depth, subsamplingRate=how.rows, featureSubsetStrategy=how.columns, seed=how.seed, validationTol=how.tolerance)
     if validation is not None:
         rows = rows.unionByName(validation.select(*FEATURES, F.col("label").cast("double").alias("label"), F.lit(True).alias("held")))
-        gbt = gbt.setValidationIndicatorCol("held").setValidationTol(how.tolerance)
+        gbt = gbt.setValidationIndicatorCol("held")
     model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), gbt]).fit(rows)
     if path:
         model.write().overwrite().save(path)

@@ -76,7 +76,7 @@ def test_similarities(spark):
     def cosine(a, b):
         return text.gram_cosine(a, b, text.grams(a, 2), text.grams(b, 2))
 
-    assert pairs(spark, values, cosine) == pytest.approx([1, 0, 0, 1, 2 / (5**0.5 * 6**0.5), 1, 1])
+    assert pairs(spark, values, cosine) == pytest.approx([1, 1, 0, 1, 2 / (5**0.5 * 6**0.5), 1, 1])
 
 
 def test_jaccard(spark):
