@@ -11,19 +11,29 @@ from . import common
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links (a, b: long) -> node, root: each node's smallest reachable node, for the nodes that have links.
 
-    Each round a node takes the smallest label among its own and its neighbours', then its label's label, so a chain of n
-    links takes about log n rounds. Each round is a table in the shared folder; the driver sees a count alone. Hot nodes
-    cost nothing: minima are combined before the shuffle.
+    Each round every node joins the one of itself and its neighbours that is first in an order by hash, which is another
+    order each round, and links between what has become one node vanish. A constant share of the nodes goes each round,
+    whatever the shape, so all rounds together handle a few times the links. Each round's tables are in the shared folder;
+    the driver sees whether links are left. Hot nodes cost nothing: first neighbours are combined before the shuffle.
     """
-    both = common.materialize(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
-    labels = common.materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("node"), "root"), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        own = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("root", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
-        step = own.join(jump, "next").select("node", F.col("root").alias("was"), F.least("next", "far").alias("root"))
+    ends = [F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")]
+    edges = common.materialize(links.select(*ends).filter("u <> v").distinct(), "links")
+    maps: list[DataFrame] = []
+    while not edges.isEmpty():
+        if len(maps) == most_rounds:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(maps))).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
+        both = edges.select(F.col("u").alias("node"), order("v").alias("near")).unionAll(edges.select(F.col("v").alias("node"), order("u").alias("near")))
+        step = both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("near", order("node"))["x"].alias("label"))
         step = common.materialize(step, "labels")
-        labels = step.select("node", "root")
-        if step.filter("was <> root").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        maps.append(step)
+        moved = edges.join(step.select(F.col("node").alias("u"), F.col("label").alias("a")), "u").join(step.select(F.col("node").alias("v"), F.col("label").alias("b")), "v")
+        edges = common.materialize(moved.select(*ends).filter("u <> v").distinct(), "links")
+    if not maps:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    whole = maps.pop()
+    while maps:
+        later = whole.select(F.col("node").alias("label"), F.col("label").alias("last"))
+        whole = maps.pop().join(later, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+    whole = common.materialize(whole, "labels")
+    return whole.join(whole.groupBy("label").agg(F.min("node").alias("root")), "label").select("node", "root")

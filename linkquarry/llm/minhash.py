@@ -3,8 +3,8 @@
 Under each permutation both the smallest and the largest hash of a document's shingles are kept, so a signature of k
 values takes k / 2 hash evaluations a shingle. Signatures are banded; documents that agree in a band are candidates.
 Equal sets are one node, however many documents have them. Candidates are compared in rounds: each member of a bucket
-with the bucket's smallest and largest node, then, where a bucket still spans several components, its members of
-different components with each other. No pair within a component is made, and no bucket is cut short.
+with the bucket's smallest and largest node. Buckets that then still span several components are compared in blocks within tasks, from
+which only confirmed links come. No bucket is cut short, and no pairs of a bucket are made as rows.
 
 With 160 permutations and 64 bands of 5 values a pair at the threshold of 0.8 is missed with a probability of 1e-11 (1e-5
 if minimum and maximum were fully dependent).
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, families
 from .components import components
 
 
@@ -33,6 +33,9 @@ class NearDuplicates:
     permutations: int = 160
     band_rows: int = 5
     seed: int = 20240229
+    #: Documents and shingles of a block of a family.
+    block_nodes: int = 512
+    block_shingles: int = 1_000_000
 
 
 class Words(dict):
@@ -145,12 +148,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    first = sets.select(F.col("node").alias("a"), F.col("set").alias("set_x"), F.size("set").alias("size_x"))
-    second = sets.select(F.col("node").alias("b"), F.col("set").alias("set_y"), F.size("set").alias("size_y"))
-    # sizes alone rule out most false candidates before any set moves
-    sized = pairs.join(first.select("a", "size_x"), "a").join(second.select("b", "size_y"), "b")
-    sized = sized.filter(F.lit(100) * F.least("size_x", "size_y") >= F.lit(percent) * F.greatest("size_x", "size_y")).select("a", "b")
-    return sized.join(first.drop("size_x"), "a").join(second.drop("size_y"), "b").select("a", "b", "set_x", "set_y").mapInArrow(compare, "a long, b long")
+    first = sets.select(F.col("node").alias("a"), F.col("set").alias("set_x"))
+    second = sets.select(F.col("node").alias("b"), F.col("set").alias("set_y"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "set_x", "set_y").mapInArrow(compare, "a long, b long")
+
+
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of 0-1 matrices of some thousand shingles each."""
+    sizes = np.array([len(x) for x in sets])
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.bincount(code, minlength=len(values)) > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[code]
+    row, code = row[keep], place[code[keep]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    width = 4096
+    for low in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(code, (low, low + width))
+        part = np.zeros((len(sets), width), np.float32)
+        part[row[a:b], code[a:b] - low] = 1
+        out += part @ part.T
+    return out
 
 
 def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) -> DataFrame:
@@ -170,10 +191,17 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) ->
     equal = member.filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
 
     rows = full.join(groups.select("set_a", "set_b", F.col("node").alias("doc_id")), ["doc_id", "set_a", "set_b"], "left_semi")
-    bands = rows.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    bands = rows.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    mark = F.struct("node", "n")
+    buckets = bands.groupBy("band").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low.node <> high.node")
     crowded = common.materialize(bands.join(buckets, "band"), "candidates")  # the members of buckets with several nodes
-    pairs = crowded.select(F.col("low").alias("a"), F.col("node").alias("b")).unionAll(crowded.select(F.col("node").alias("a"), F.col("high").alias("b"))).filter("a < b").distinct()
+
+    def fits(x: str, y: str):
+        # sets whose sizes alone rule a link out are never paired
+        return F.lit(100) * F.least(x, y) >= F.lit(how.percent) * F.greatest(x, y)
+
+    stars = [crowded.select(F.col(f"{end}.node").alias("a"), F.col("node").alias("b"), F.col(f"{end}.n").alias("x"), F.col("n").alias("y")) for end in ("low", "high")]
+    pairs = stars[0].unionAll(stars[1]).filter("a <> b").filter(fits("x", "y")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = common.materialize(pairs, "pairs")
 
     nodes = crowded.select(F.col("node").alias("doc_id")).distinct()
@@ -182,14 +210,17 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) ->
     linked = components(links)
 
     # buckets whose members still lie in several components, and whose pairs weren't all compared
-    inside = crowded.join(linked, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = inside.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).filter("x <> y AND n > 2").select("band")
+    inside = crowded.select("band", "node", "n").join(linked, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = inside.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k")).filter("x <> y AND k > 2").select("band")
     rest = common.materialize(inside.join(mixed, "band", "left_semi"), "mixed")
-    more = rest.select("band", F.col("node").alias("a"), F.col("root").alias("root_a")).join(rest.select("band", F.col("node").alias("b"), F.col("root").alias("root_b")), "band")
-    more = more.filter("a < b AND root_a <> root_b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    late = common.materialize(_confirmed(more, sets, how.percent), "confirmed")
 
-    every = links.unionAll(late).unionAll(equal)
+    def alike(held: list[np.ndarray], matter: np.ndarray) -> np.ndarray:
+        size, both = np.array([len(x) for x in held]), _intersections(held)
+        return matter & (100 * both >= how.percent * (size[:, None] + size[None, :] - both))
+
+    late = families.links_within(rest, sets.withColumnRenamed("set", "value"), alike, how.block_nodes, how.block_shingles)
+    # components so far are links of a node with its root
+    every = linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(common.materialize(late, "confirmed")).unionAll(equal)
     roots = components(every)
     out = signed.select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.coalesce("root", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -160,8 +160,8 @@ def brute_components(texts, n, percent):
     return [len(s) for s in sets], [find(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("stars", [0, 1])
-def test_near_duplicates(spark, stars):
+@pytest.mark.parametrize("nodes", [3, 512])
+def test_near_duplicates(spark, nodes):
     rng = random.Random(5)
     texts = [None, "", "one", "One", "two words", "Éa b"]
     for _ in range(12):
@@ -171,7 +171,7 @@ def test_near_duplicates(spark, stars):
             for _ in range(rng.choice([0, 1, 3, 5])):
                 w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
             texts.append(" ".join(w))
-    how = minhash.NearDuplicates(words=2, star_rounds=stars, block_nodes=3)
+    how = minhash.NearDuplicates(words=2, block_nodes=nodes)
     rows = sorted(minhash.near_duplicates(documents(spark, texts), how).collect())
     n, root = brute_components(texts, 2, 80)
     assert [r.n_shingles for r in rows] == n and [r.component_id for r in rows] == root and [r.kept for r in rows] == [i == k for i, k in enumerate(root)]
