@@ -44,7 +44,9 @@ def train(training: DataFrame, validation: DataFrame | None = None, how: Boostin
     if validation is not None:
         rows = rows.unionByName(validation.select(*FEATURES, F.col("label").cast("double").alias("label"), F.lit(True).alias("held")))
         gbt = gbt.setValidationIndicatorCol("held")
+    rows = rows.persist()  # each tree reads them
     model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), gbt]).fit(rows)
+    rows.unpersist()
     if path:
         model.write().overwrite().save(path)
     return model
