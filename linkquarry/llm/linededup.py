@@ -8,8 +8,8 @@ bit-parallel edit distance.
 
 Keys are made where the texts are read and dealt by hash in binary blocks, each line once a batch, so a line that is in
 every document is a row a batch. A key that many different lines share is dealt anew by parts of a parity sketch: an
-edit changes at most two of its 32 bits, so lines within the threshold agree in at least one part. What is crowded even
-then is linked by rounds: each line with the first of its group, then lines of different components with each other.
+edit changes at most two of its 64 bits, so lines within the threshold agree in at least one part. What is crowded even
+then is linked in rounds: each line with the first of its group, then lines of different components block by block.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, winnow
+from . import common, families, winnow
 from .components import components
 
 NULL_ID = -(1 << 63)
@@ -41,6 +41,9 @@ class Lines:
     edits: int = 2
     shortest: int = 24
     group: int = 48
+    #: Lines and characters of a block in which crowded groups are compared.
+    block_lines: int = 512
+    block_chars: int = 2_000_000
 
 
 def split_lines(text: str) -> list[str]:
@@ -160,7 +163,7 @@ def _keys(lines: list[str], hashes: np.ndarray, how: Lines) -> tuple[np.ndarray,
     out = []
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(points * inverse[: len(points)])))
-        bit = np.left_shift(np.uint32(1), (points * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(59)).astype(np.uint32))
+        bit = np.left_shift(np.uint64(1), points * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58))
         sketch = np.bitwise_xor.reduceat(bit, first)
         for delta in range(k + 1):
             other = length - delta
@@ -239,7 +242,7 @@ def candidate_pairs(blocks: DataFrame, how: Lines) -> DataFrame:
     """crowd null: a pair to compare. Else a member (a) of a crowded group, with its first line (b)."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, line, sketch = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("lines", np.int64), ("sketches", np.uint32)))
+        key, line, sketch = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("lines", np.int64), ("sketches", np.uint64)))
         own, key = key & np.uint64(1) == 1, key >> np.uint64(1)
         a, b, large = _pairs(key, own, line, sketch, how)
         found = [(a, b)]
@@ -247,9 +250,9 @@ def candidate_pairs(blocks: DataFrame, how: Lines) -> DataFrame:
         if len(large):
             # 2 * edits + 1 parts of the sketch, of which one at least is equal
             n = 2 * how.edits + 1
-            edge = np.linspace(0, 32, n + 1).astype(int)
+            edge = np.linspace(0, 64, n + 1).astype(int)
             with np.errstate(over="ignore"):
-                keys = np.concatenate([(key[large] * np.uint64(n) + np.uint64(c)) * np.uint64(0x9E3779B97F4A7C15) ^ (sketch[large] >> np.uint32(edge[c]) & np.uint32((1 << int(edge[c + 1] - edge[c])) - 1)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) for c in range(n)])
+                keys = np.concatenate([(key[large] * np.uint64(n) + np.uint64(c)) * np.uint64(0x9E3779B97F4A7C15) ^ (sketch[large] >> np.uint64(edge[c]) & np.uint64((1 << int(edge[c + 1] - edge[c])) - 1)) * np.uint64(0xD6E8FEB86659FD93) for c in range(n)])
             rows = np.tile(large, n)
             a, b, still = _pairs(keys, own[rows], line[rows], sketch[rows], how)
             found.append((a, b))
@@ -299,6 +302,21 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, how: Lines) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def alike(lines: list[str], matter: np.ndarray, most: int) -> np.ndarray:
+    """Of the pairs that matter those within `most` edits. An edit changes the numbers of characters (by their hash) by two
+    at most, which leaves few pairs to compare."""
+    size = np.array([len(x) for x in lines])
+    row = np.repeat(np.arange(len(lines)), size)
+    kind = (winnow.code_points("".join(lines)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)).astype(np.int64)
+    counts = np.bincount(row * 64 + kind, minlength=len(lines) * 64).reshape(-1, 64).astype(np.int32)
+    out = np.zeros_like(matter)
+    for i in np.flatnonzero(matter.any(axis=1)):
+        near = np.flatnonzero(matter[i])
+        near = near[np.abs(counts[near] - counts[i]).sum(axis=1) <= 2 * most]
+        out[i, near] = [within(lines[i], lines[j], most) for j in near]
+    return out
+
+
 def near_lines(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
     """line, root: the class of each line that is within the threshold of another (hashes of both)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -309,12 +327,11 @@ def near_lines(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
     links = common.materialize(_confirmed(pairs, texts, how), "line-links")
     linked = components(links)
     if not crowds.isEmpty():
-        inside = crowds.select("crowd", F.col("a").alias("node")).join(linked, "node", "left").select("crowd", "node", F.coalesce("root", "node").alias("root"))
-        mixed = inside.groupBy("crowd").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("crowd")
-        rest = common.materialize(inside.join(mixed, "crowd", "left_semi"), "line-rest")
-        more = rest.select("crowd", F.col("node").alias("a"), F.col("root").alias("ra")).join(rest.select("crowd", F.col("node").alias("b"), F.col("root").alias("rb")), "crowd")
-        more = more.filter("a < b AND ra <> rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        linked = components(links.unionAll(common.materialize(_confirmed(more, texts, how), "line-links")))
+        inside = crowds.select(F.col("crowd").alias("band"), F.col("a").alias("node")).join(linked, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        mixed = inside.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band")
+        rest = inside.join(mixed, "band", "left_semi").join(texts.select(F.col("line").alias("node"), F.length("text").alias("n")), "node")
+        late = families.links_within(common.materialize(rest, "line-rest"), texts.select(F.col("line").alias("node"), F.col("text").alias("value")), lambda lines, matter: alike(lines, matter, how.edits), how.block_lines, how.block_chars)
+        linked = components(links.unionAll(common.materialize(late, "line-links")))
     return linked.select(F.col("node").alias("line"), "root")
 
 
