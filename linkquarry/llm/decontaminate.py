@@ -2,7 +2,8 @@
 
 A mask picks some positions of a window of words and ignores the others; windows of a benchmark item and of a document
 that agree at the picked positions have the same hash, whatever stands between. Around each hit the two texts are
-compared along their diagonal, so an overlap is found in full although words in it were substituted.
+compared along their diagonal, so an overlap is found in full although words in it were substituted. A diagonal with a
+hit is searched in full: no stretch of it with enough same words is passed over.
 
 A benchmark is read by the driver in blocks of a bounded number of words; each block goes to all executors and is held
 against all documents. That is one pass over the documents for each block, and no shuffle.
@@ -92,25 +93,71 @@ class Index:
             low, high = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
             size = high - low
             k = np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            hits.append(np.stack((self.items[k], np.repeat(at, size) - self.places[k], np.repeat(at, size)), axis=1))
+            if len(k):
+                hits.append(np.stack((self.items[k], np.repeat(at, size) - self.places[k], np.repeat(at, size)), axis=1))
         if not hits:
             return []
-        found, done = [], {}
-        # hits by item and diagonal, in order of their place: one within what was compared is settled
-        for item, shift, at in np.unique(np.concatenate(hits), axis=0).tolist():
-            if at < done.get((item, shift), -1):
-                continue
-            a, b, same = self._extend(words, self.words[item], shift, at)
-            done[item, shift] = max(b, at + 1)
-            need = min(self.how.min_words, len(self.words[item]))
-            if b - a >= need and 100 * same >= self.how.percent * (b - a):
-                found.append((self.ids[item], a, b, a - shift, b - shift, same))
+        found, hit = [], np.unique(np.concatenate(hits), axis=0)
+        # hits by item and diagonal, in order of their place
+        for group in np.split(hit, np.flatnonzero((hit[1:, :2] != hit[:-1, :2]).any(axis=1)) + 1):
+            item, shift = group[0, :2].tolist()
+            w = self.words[item]
+            low, high = max(0, shift), min(len(words), shift + len(w))
+            same = words[low:high] == w[low - shift : high - shift]
+            for a, b in self._stretches(same, (group[:, 2] - low).tolist(), min(self.how.min_words, len(w))):
+                found.append((self.ids[item], low + a, low + b, low + a - shift, low + b - shift, int(same[a:b].sum())))
         return found
 
-    def _extend(self, doc: np.ndarray, item: np.ndarray, shift: int, at: int) -> tuple[int, int, int]:
-        """The best stretch of the diagonal around a hit: start, end in the document, same words in it."""
-        low, high = max(0, shift), min(len(doc), shift + len(item))
-        same = doc[low:high] == item[low - shift : high - shift]
+    def _stretches(self, same: np.ndarray, hits: list[int], need: int) -> list[tuple[int, int]]:
+        """Start and end of a diagonal's overlaps. A hit's best stretch is one if enough of its words are the same, else
+        what is within it; then what is left between them (the extension ends at a drop, an overlap needn't)."""
+        out, end = [], 0
+        for at in hits:
+            if at < end:
+                continue
+            a, b = self._extend(same, at)
+            end = max(b, at + 1)
+            if b - a >= need:
+                out += [(a, b)] if 100 * int(same[a:b].sum()) >= self.how.percent * (b - a) else self._within(same, a, b, need, tight=False)
+        edge = 0
+        for a, b in [*sorted(set(out)), (len(same), len(same))]:
+            out += self._within(same, edge, a, need, tight=True)
+            edge = max(edge, b)
+        return sorted(set(out))
+
+    def _within(self, same: np.ndarray, low: int, high: int, need: int, tight: bool) -> list[tuple[int, int]]:
+        """The longest stretch of `need` words or more with the percentage (tight: that begins and ends with a same word), and
+        so on at both sides of it. Unlike words at its ends go, down to `need`."""
+        out, todo = [], [(low, high)]
+        while todo:
+            low, high = todo.pop()
+            n = high - low
+            if n < need or n <= 0:
+                continue
+            # a stretch has the percentage where this sum is no smaller at its end than at its start
+            part = same[low:high]
+            total = np.concatenate(([0], np.cumsum(np.where(part, 100 - self.how.percent, -self.how.percent))))
+            begin, end = total[:-1], total[1:]
+            if tight:
+                begin, end = np.where(part, begin, np.iinfo(np.int64).max), np.where(part, end, np.iinfo(np.int64).min)
+            # the last end of each start: from there on no end is as high
+            last = n - np.searchsorted(np.maximum.accumulate(end[::-1]), begin, "left")
+            size = last - np.arange(n)
+            a = int(size.argmax())
+            b = a + int(size[a])
+            if b - a < need:
+                continue
+            x, y = a, b
+            while y - x > need and not part[y - 1]:
+                y -= 1
+            while y - x > need and not part[x]:
+                x += 1
+            out.append((low + x, low + y))
+            todo += [(low, low + a), (low + b, high)]
+        return out
+
+    def _extend(self, same: np.ndarray, k: int) -> tuple[int, int]:
+        """Start and end of the best stretch of a diagonal around a hit."""
         step = np.where(same, 1, -2)
 
         def reach(steps: np.ndarray) -> int:
@@ -120,9 +167,7 @@ class Index:
             score = score[: over[0]] if len(over) else score
             return int(score.argmax()) + 1 if len(score) and score.max() > 0 else 0
 
-        k = at - low
-        a, b = k - reach(step[:k][::-1]), k + reach(step[k:])
-        return low + a, low + b, int(same[a:b].sum())
+        return k - reach(step[:k][::-1]), k + reach(step[k:])
 
 
 def _blocks(benchmark: DataFrame, how: Overlap, block_words: int) -> Iterator[Index]:

@@ -394,3 +394,39 @@ def test_decontamination(spark):
     split = decontaminate.overlaps(documents(spark, texts), benchmark, block_words=10).collect()
     assert sorted(split) == sorted(rows)
     assert {r.doc_id for r in decontaminate.decontaminate(documents(spark, texts), benchmark).collect()} == {0, 5, 6, 7}
+
+
+def found_on(item, text):
+    index = decontaminate.Index(decontaminate.Overlap(), [0], [minhash.word_hashes(item)]).build()
+    return index.overlaps(minhash.word_hashes(text))
+
+
+def test_a_set_bit_without_a_hash_is_no_hit():
+    index = decontaminate.Index(decontaminate.Overlap(), [0], [minhash.word_hashes("one two three")]).build()
+    index.table[:] = True
+    assert index.overlaps(minhash.word_hashes(prose(random.Random(1), 50))) == []
+
+
+def test_an_overlap_within_a_weaker_stretch_is_found():
+    item = [f"i{k}" for k in range(13 + 4 * 40)]
+    text = [w if k < 13 or (k - 13) % 4 else f"x{k}" for k, w in enumerate(item)]
+    assert found_on(" ".join(item), " ".join(text[:13] + ["y"] * 40)) == [(0, 0, 13, 0, 13, 13)]
+    rows = found_on(" ".join(item), " ".join(text))
+    assert rows and rows[0][1] == 0 and rows[0][2] >= 13 and all(100 * r[5] >= 80 * (r[2] - r[1]) and r[2] - r[1] >= 13 for r in rows)
+    # 16 of 20 words, in two parts that no extension joins
+    assert found_on(" ".join(item), " ".join([*item[:8], *"abcd", *item[12:20], "z"])) == []  # no seed hits
+    assert found_on(" ".join(item), " ".join([*item[:12], *"abcd", *item[16:28], "z"])) == [(0, 0, 28, 0, 28, 24)]
+
+
+@pytest.mark.parametrize("rate", [0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3])
+def test_overlaps_are_those_of_brute_force(rate):
+    rng = random.Random(int(100 * rate))
+    for _ in range(150):
+        item = [f"i{k}" for k in range(59)]
+        text = [f"x{k}" if rng.random() < rate else w for k, w in enumerate(item)]
+        same = [x == y for x, y in zip(item, text, strict=True)]
+        seeds = [at for m in decontaminate.MASKS for at in range(59 - len(m) + 1) if all(same[at + k] for k, c in enumerate(m) if c == "1")]
+        want = bool(seeds) and any(same[a] and same[b - 1] and 100 * sum(same[a:b]) >= 80 * (b - a) for a in range(59) for b in range(a + 13, 60))
+        rows = found_on(" ".join(item), " ".join(["before", *text, "after"]))
+        assert all(b - a >= 13 and d - c == b - a and a - c == 1 and n == sum(same[c:d]) and 100 * n >= 80 * (b - a) for _, a, b, c, d, n in rows)
+        assert len(set(rows)) == len(rows) and (rows or not want)
