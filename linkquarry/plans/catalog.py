@@ -68,11 +68,8 @@ def part_truth_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spine.join(links, "s1_entity_id", "left").select("s1_entity_id", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
 
 
-NO_TFIDF = blocking.Blocking(tfidf=False)
-
-
 def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.candidates(*part_sides(spark, sf_dir), NO_TFIDF)
+    return blocking.candidates(*part_sides(spark, sf_dir))
 
 
 def part_scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkquarry.operators import blocking, decision, features, learning, profile, tfidf, validate
-from linkquarry.plans import cli, pipeline
+from linkquarry.plans import catalog, cli, pipeline
 from linkquarry.sources import tables
 
 RECORD = "entity_id string, business_name string, business_address string, country string, source string"
@@ -197,3 +197,14 @@ def test_stream(spark, tmp_path, world):
     stream = spark.readStream.schema(s1.schema).parquet(str(tmp_path / "in"))
     candidate_stream(stream, pool, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert found(spark.read.parquet(str(tmp_path / "out"))) == {("S1-1", "S2-1"), ("S1-1", "S3-2"), ("S1-2", "S3-1")}
+
+
+PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
+
+
+def test_registered_candidates_have_the_tfidf_channel(spark, tmp_path):
+    # neither has an address; names differ in their prefix and in all tokens
+    parts = [(33, "goldensilverware", "Brand#1", "TIN", 1), (22, "xgoldensilverware", "Brand#2", "TIN", 2), (44, "plum", "Brand#3", "TIN", 3)]
+    spark.createDataFrame(parts, PART).write.parquet(f"{tmp_path}/part.parquet")
+    rows = catalog.QUERIES["candidates"](spark, str(tmp_path)).collect()
+    assert [(r.s1_entity_id, r.candidate_entity_id, r.priority, r.rank) for r in rows] == [("S1-33", "S2-22", 5, 1)]
