@@ -155,7 +155,7 @@ QUERIES: dict[str, Query] = {
     "block_prefix5": lambda s, d: blocking.by_name_prefix(*part_sides(s, d)),
     "block_house": lambda s, d: blocking.by_house(*part_sides(s, d)),
     "block_house_prefix3": lambda s, d: blocking.by_house_and_prefix(*part_sides(s, d)),
-    "block_address_tokens": lambda s, d: blocking.by_address_tokens(*part_sides(s, d), cap=200),
+    "block_address_tokens": lambda s, d: blocking.by_address_tokens(*part_sides(s, d)),
     "block_address_multi": lambda s, d: blocking.by_address(*part_sides(s, d)).select(*PAIRS, "score", "place"),
     "block_name_tokens": lambda s, d: blocking.by_name_tokens(*part_sides(s, d)).select(*PAIRS, "score", "place"),
     "token_overlap": doc_token_overlap,

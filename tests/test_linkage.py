@@ -208,3 +208,10 @@ def test_registered_candidates_have_the_tfidf_channel(spark, tmp_path):
     spark.createDataFrame(parts, PART).write.parquet(f"{tmp_path}/part.parquet")
     rows = catalog.QUERIES["candidates"](spark, str(tmp_path)).collect()
     assert [(r.s1_entity_id, r.candidate_entity_id, r.priority, r.rank) for r in rows] == [("S1-33", "S2-22", 5, 1)]
+
+
+def test_registered_address_tokens_keep_buckets_up_to_the_operator_s_cap(spark, tmp_path):
+    parts = [(k, f"n{k}", "Brand#1", "TIN", 1000 + k) for k in range(1, 451)]
+    spark.createDataFrame(parts, PART).write.parquet(f"{tmp_path}/part.parquet")
+    rows = catalog.QUERIES["block_address_tokens"](spark, str(tmp_path)).groupBy("s1_entity_id").count().collect()
+    assert {r.s1_entity_id for r in rows} == {f"S1-{k}" for k in range(3, 451, 3) if k % 11} and all(r["count"] == 100 for r in rows)
