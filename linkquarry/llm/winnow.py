@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Hashes of a window, where none is asked for.
+WINDOW = 16
 _BASE = np.uint64(0x2545F4914F6CDD1D)
 _INVERSE = np.uint64(pow(0x2545F4914F6CDD1D, -1, 1 << 64))
 _powers: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
@@ -37,15 +39,20 @@ def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Winnowing:
-    """gram: code points of a hashed gram. window: hashes of a window (a power of two)."""
+    """gram: code points of a hashed gram. window: hashes of a window; none: WINDOW, and fewer for a text of which half
+    would be below the guarantee (the minimum of a window is that of the narrower ones in it, so both match as before)."""
 
     gram: int = 24
-    window: int = 64
+    window: int | None = None
 
     @property
     def guarantee(self) -> int:
         """A shared passage of so many code points gives a shared hash."""
-        return self.gram + self.window - 1
+        return self.gram + (self.window or WINDOW) - 1
+
+    def window_of(self, n: int) -> int:
+        """The window for a text of n code points."""
+        return self.window or max(1, min(WINDOW, (n + 1) // 2 - self.gram + 1))
 
     def choose(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code points -> the chosen 32-bit hashes and their positions, ascending. A text shorter than a gram is one gram;
@@ -66,9 +73,9 @@ class Winnowing:
         m = len(h)
         # the hash above, what counts down with the position below: the smallest is the rightmost of the smallest hashes
         key = h & np.uint64(0xFFFFFFFF00000000) | (np.uint64(0xFFFFFFFF) - np.arange(m, dtype=np.uint64))
-        span = 1
-        while span < min(self.window, m):
-            step = min(span, min(self.window, m) - span)
+        span, window = 1, min(self.window_of(n), m)
+        while span < window:
+            step = min(span, window - span)
             key = np.minimum(key[: len(key) - step], key[step:])
             span += step
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]

@@ -262,6 +262,25 @@ def test_winnowing_guarantee():
         assert winnow.matches(winnow.printed(*how.choose(winnow.code_points(a))), winnow.printed(*how.choose(winnow.code_points(b))))
 
 
+def test_half_of_a_text_is_recognized():
+    rng, how = random.Random(14), winnow.Winnowing()
+    for n in range(2 * how.gram - 1, 240):
+        text, other = ("".join(rng.choice("abcdefgh") for _ in range(n)) for _ in range(2))
+        half, follower = n // 2, other[: rng.choice([n, n // 4])]
+        edited = text[: n - half] + follower[:half]
+        a, b = (how.choose(winnow.code_points(x)) for x in (text, edited))
+        assert winnow.likeness(a[0], b[0]) > 0, n
+
+
+def test_a_passage_is_found_in_texts_of_any_length():
+    rng, how = random.Random(15), winnow.Winnowing()
+    for n in range(40):
+        common = "".join(rng.choice("abcdef") for _ in range(how.guarantee))
+        a, b = ("".join(rng.choice("uvwxyz") for _ in range(k)) + common for k in (n, 40 * n))
+        assert winnow.matches(winnow.printed(*how.choose(winnow.code_points(a))), winnow.printed(*how.choose(winnow.code_points(b))))
+    assert how.guarantee <= 40
+
+
 def test_edited_fingerprints(spark):
     rng = random.Random(9)
     texts = [prose(rng, rng.choice([0, 1, 30, 200])) + "é" * (i % 2) for i in range(60)] + [None, "\U0001f600" * 9]
