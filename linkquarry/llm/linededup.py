@@ -35,8 +35,8 @@ PAIRS = "crowd long, a long, b long"
 
 @dataclass(frozen=True)
 class Lines:
-    """edits: the threshold. shortest: shorter lines (in code points) are the same only if equal; blank lines stay. group:
-    up to so many different lines of a key are paired directly."""
+    """edits: the threshold. shortest: two lines that are both shorter (in code points) are the same only if equal; blank
+    lines stay. group: up to so many different lines of a key are paired directly."""
 
     edits: int = 2
     shortest: int = 24
@@ -175,7 +175,7 @@ def _keys(lines: list[str], hashes: np.ndarray, how: Lines) -> tuple[np.ndarray,
                 high = np.minimum(np.minimum(at + i, at + delta + (k - i)), length - size)
                 for shift in range(int((high - low).max()) + 1 if len(low) else 0):
                     start = low + shift
-                    ok = np.flatnonzero(start <= high)
+                    ok = np.flatnonzero((start <= high) & (other > 0))
                     a, n = first[ok] + start[ok], size[ok]
                     h = (sums[a + n] - sums[a]) * power[a]
                     h ^= h >> np.uint64(29)
@@ -194,7 +194,7 @@ def key_blocks(docs: DataFrame, how: Lines, parts: int) -> DataFrame:
             fresh: dict[int, str] = {}
             for text in common.texts_of(batch):
                 for x in split_lines(text):
-                    if len(x) >= how.shortest and not x.isspace() and (h := line_hash(x)) not in seen:
+                    if len(x) >= how.shortest - how.edits and x and not x.isspace() and (h := line_hash(x)) not in seen:
                         fresh[h] = x
             if len(seen) > 200_000:
                 seen.clear()
@@ -295,15 +295,15 @@ def line_texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, texts: DataFrame, how: Lines) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [within(x, y, how.edits) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            keep = [max(len(x), len(y)) >= how.shortest and within(x, y, how.edits) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def alike(lines: list[str], matter: np.ndarray, most: int) -> np.ndarray:
-    """Of the pairs that matter those within `most` edits. An edit changes the numbers of characters (by their hash) by two
+def alike(lines: list[str], matter: np.ndarray, most: int, shortest: int = 0) -> np.ndarray:
+    """Of the pairs that matter those within `most` edits, one of `shortest` code points or more. An edit changes the numbers of characters (by their hash) by two
     at most, which leaves few pairs to compare."""
     size = np.array([len(x) for x in lines])
     row = np.repeat(np.arange(len(lines)), size)
@@ -312,6 +312,7 @@ def alike(lines: list[str], matter: np.ndarray, most: int) -> np.ndarray:
     out = np.zeros_like(matter)
     for i in np.flatnonzero(matter.any(axis=1)):
         near = np.flatnonzero(matter[i])
+        near = near[np.maximum(size[near], size[i]) >= shortest]
         near = near[np.abs(counts[near] - counts[i]).sum(axis=1) <= 2 * most]
         out[i, near] = [within(lines[i], lines[j], most) for j in near]
     return out
@@ -330,7 +331,7 @@ def near_lines(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
         inside = crowds.select(F.col("crowd").alias("band"), F.col("a").alias("node")).join(linked, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
         mixed = inside.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band")
         rest = inside.join(mixed, "band", "left_semi").join(texts.select(F.col("line").alias("node"), F.length("text").alias("n")), "node")
-        late = families.links_within(common.materialize(rest, "line-rest"), texts.select(F.col("line").alias("node"), F.col("text").alias("value")), lambda lines, matter: alike(lines, matter, how.edits), how.block_lines, how.block_chars)
+        late = families.links_within(common.materialize(rest, "line-rest"), texts.select(F.col("line").alias("node"), F.col("text").alias("value")), lambda lines, matter: alike(lines, matter, how.edits, how.shortest), how.block_lines, how.block_chars)
         linked = components(links.unionAll(common.materialize(late, "line-links")))
     return linked.select(F.col("node").alias("line"), "root")
 

@@ -378,6 +378,35 @@ def test_line_dedup(spark, group):
     assert set(clean) == set(range(len(texts))) and all(clean[i].n_chars == len(rows[i].text or "") for i in clean)
 
 
+@pytest.mark.parametrize("group", [48, 2])
+def test_lines_are_compared_across_the_shortest_length(spark, group):
+    rng = random.Random(16)
+    bases = ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in (21, 22, 23, 24, 25, 26) for _ in range(4)]
+    lines = []
+    for x in bases:
+        k = rng.randrange(3, 18)
+        lines += [x, x[:k] + x[k + 1 :], x[:k] + x[k + 2 :], x[:-1]]
+    rows = linededup.deduplicated_lines(documents(spark, lines), linededup.Lines(group=group)).collect()
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(lines):
+        for j in range(i):
+            if a == lines[j] or max(len(a), len(lines[j])) >= 24 and distance(a, lines[j]) <= 2:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    assert {r.doc_id: r.n_removed for r in rows} == {i: int(find(i) != i) for i in range(len(lines))}
+
+
+def test_lines_shorter_than_the_edits_do_no_harm(spark):
+    rows = linededup.deduplicated_lines(documents(spark, ["a", "ab", "abcd", "abce", "x\nx"]), linededup.Lines(shortest=1)).collect()
+    assert {r.doc_id: r.n_removed for r in rows}[3] == 1 and {r.doc_id: r.n_removed for r in rows}[4] >= 1
+
+
 def test_language_model(spark):
     rng = random.Random(12)
     texts = [prose(rng, rng.choice([0, 1, 20, 150])) for _ in range(120)] + [None, "Unseen É \x0b words"]
