@@ -102,7 +102,7 @@ def gbt_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     s1, pool = r.filter("source = 'S1'"), r.filter("source <> 'S1'")
     rows = features.labelled(features.pair_features(part_pairs(spark, sf_dir), s1, pool), part_truth_lists(spark, sf_dir)).persist()
     training, held = features.entity_split(rows)
-    model = learning.train(training, held, learning.Boosting(trees=8, depth=4))
+    model = learning.train(training, held)
     return learning.predict(model, rows.drop("label"))
 
 

@@ -215,3 +215,18 @@ def test_registered_address_tokens_keep_buckets_up_to_the_operator_s_cap(spark,
     spark.createDataFrame(parts, PART).write.parquet(f"{tmp_path}/part.parquet")
     rows = catalog.QUERIES["block_address_tokens"](spark, str(tmp_path)).groupBy("s1_entity_id").count().collect()
     assert {r.s1_entity_id for r in rows} == {f"S1-{k}" for k in range(3, 451, 3) if k % 11} and all(r["count"] == 100 for r in rows)
+
+
+def test_registered_scores_are_of_the_operator_s_own_model(spark, tmp_path, monkeypatch):
+    class Asked(Exception):
+        pass
+
+    def train(training, validation=None, how=learning.Boosting(), path=None):
+        raise Asked(how, validation is not None)
+
+    parts = [(k, f"n{k // 3}", "Brand#1", "TIN", k) for k in range(1, 40)]
+    spark.createDataFrame(parts, PART).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(learning, "train", train)
+    with pytest.raises(Asked) as asked:
+        catalog.QUERIES["gbt_score"](spark, str(tmp_path))
+    assert asked.value.args == (learning.Boosting(), True)
