@@ -31,6 +31,8 @@ MAGIC = b"LQRP"
 HEAD = struct.Struct("<4sHHIIII")
 BLOCK_IDS = 1 << 19
 END_ID = 2
+#: A rule takes eight bytes, an occurrence saves two: so many occurrences of a pair pay for it.
+PAYS = 5
 BLOCK_SCHEMA = "part int, block int, part_start long, n_docs long, n_ids long, body binary"
 
 
@@ -59,8 +61,10 @@ def _chosen(symbols: np.ndarray, open_: np.ndarray, min_count: int, most: int) -
     return pairs[:, 0], pairs[:, 1]
 
 
-def compress(symbols: np.ndarray, first_of_doc: np.ndarray, first_rule: int, min_count: int = 24, most_rules: int = 12_000, per_round: int = 1024, min_saving: float = 0.02) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """symbols, and the place where each document starts -> symbols, starts, and the rules' left, right, length."""
+def compress(symbols: np.ndarray, first_of_doc: np.ndarray, first_rule: int, min_count: int = PAYS, most_rules: int | None = None, per_round: int = 1024, min_saving: float = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """symbols, and the place where each document starts -> symbols, starts, and the rules' left, right, length.
+    Rounds go on until no pair pays for a rule; without most_rules as long as a symbol fits in 16 bits."""
+    most_rules = max(0, (1 << 16) - first_rule) if most_rules is None else most_rules
     symbols, starts = symbols.astype(np.uint32), first_of_doc.astype(np.int64)
     left, right = np.empty(0, np.uint32), np.empty(0, np.uint32)
     while len(symbols) > 1 and len(left) < most_rules:

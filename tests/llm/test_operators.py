@@ -127,6 +127,14 @@ def test_grammar_of_any_ids(docs):
     assert [[x for s in symbols[a:b].tolist() for x in expand(s)] for a, b in zip(at.tolist(), ends, strict=True)] == docs
 
 
+def test_no_pair_that_pays_is_left():
+    rng = np.random.default_rng(17)
+    ids = rng.integers(0, 300, 40_000).astype(np.uint32)
+    symbols, _, left, *_ = repair.compress(ids, np.zeros(1, np.int64), 50_257)
+    counts = np.unique(symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:], return_counts=True)[1]
+    assert len(left) and counts.max() < 5
+
+
 def test_token_output(spark, encoder):
     rng = random.Random(4)
     texts = [prose(rng, rng.choice([0, 3, 60, 200])) for _ in range(80)] + [None]
