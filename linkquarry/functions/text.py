@@ -1,7 +1,8 @@
 """Names and addresses as Column functions: normalizing, tokens, keys and similarities.
 
 Everything is built in and so stays in generated code; only Unicode compatibility forms need Python, as an Arrow function
-that callers leave out where their data is composed already. Null text is the empty one throughout.
+to which only texts beyond ASCII are sent (compose=False leaves it out, for text that is composed already). Null text is
+the empty one throughout.
 """
 
 from __future__ import annotations
@@ -39,6 +40,12 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
+def composed(c: Column | str) -> Column:
+    """Text in its compatibility composition; ASCII stays in the JVM, as a null goes to Python in its place."""
+    raw = filled(c)
+    return F.coalesce(nfkc(F.when(raw.rlike(r"[^\x00-\x7F]"), raw)), raw)
+
+
 @F.pandas_udf(T.StringType())
 def ascii_fold(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without what isn't ASCII."""
@@ -75,9 +82,9 @@ def _has_letter(c: Column) -> Column:
     return c.rlike(r"[\p{L}\p{N}]")
 
 
-def normalize_name(c: Column | str, strip_legal: bool = False, compose: bool = False) -> Column:
+def normalize_name(c: Column | str, strip_legal: bool = False, compose: bool = True) -> Column:
     """Lower case, `&` as a word, other punctuation and symbols as spaces; empty without a letter or digit."""
-    raw = nfkc(filled(c)) if compose else filled(c)
+    raw = composed(c) if compose else filled(c)
     out = _spaced(F.replace(F.lower(raw), F.lit("&"), F.lit(" and ")))
     out = F.when(_has_letter(raw), out).otherwise("")
     return strip_legal_suffixes(out) if strip_legal else out
@@ -109,9 +116,9 @@ def distinctive_tokens(name: Column) -> Column:
     return F.array_except(F.filter(F.split(name, " "), lambda t: F.length(t) >= 2), words(*fixed.GENERIC_NAME_TERMS))
 
 
-def normalize_address(c: Column | str, compose: bool = False) -> Column:
+def normalize_address(c: Column | str, compose: bool = True) -> Column:
     """Lower case with abbreviations of streets written out, punctuation and symbols as spaces."""
-    raw = strip(nfkc(filled(c)) if compose else filled(c))
+    raw = strip(composed(c) if compose else filled(c))
     table = F.create_map(*[F.lit(x) for pair in fixed.STREET_ABBREVIATIONS.items() for x in pair])
     parts = F.filter(F.split(F.replace(F.lower(raw), F.lit("&"), F.lit(" and ")), r"(?U)\s+"), lambda t: t != "")
     full = F.transform(parts, lambda t: F.coalesce(F.try_element_at(table, F.btrim(t, F.lit(".,;:-"))), t))
@@ -123,10 +130,10 @@ def address_tokens(address: Column, least: int = 2) -> Column:
     return F.array_except(F.filter(F.split(address, " "), lambda t: F.length(t) >= least), words(*fixed.ADDRESS_STOPWORDS))
 
 
-def house_number(c: Column | str, compose: bool = False) -> Column:
+def house_number(c: Column | str, compose: bool = True) -> Column:
     """The number of a house, plot or door: a labelled one, else one that starts a part between commas, else the first; null
     if there is none."""
-    raw = strip(nfkc(filled(c)) if compose else filled(c))
+    raw = strip(composed(c) if compose else filled(c))
     tidy = lambda x: F.regexp_replace(F.lower(x), r"[.,;:\-]+$", "")
     found = tidy(F.regexp_extract(raw, f"(?iU){fixed.LABELLED_NUMBER}", 1))
     labelled = F.when(found.rlike(r"(?U)\d"), found)

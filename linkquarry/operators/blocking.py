@@ -1,7 +1,8 @@
 """Candidate pairs by blocking: equi-joins on keys within a country, bucket caps, ranked channels and their union.
 
-A record is prepared once (its normal forms, tokens and house number); all channels are joins over those columns. Buckets
-beyond a cap give nothing, which is a rule of the result and also bounds every join: a key meets at most `cap` rows.
+A record is prepared once (its normal forms, tokens and house number) and written; all channels are joins over narrow
+columns of that table. Buckets beyond a cap give nothing, which is a rule of the result and also bounds every join: a key
+meets at most `cap` rows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..sources import stage
 from . import tfidf
 
 PAIR = ["s1_entity_id", "candidate_entity_id", "candidate_source"]
@@ -32,14 +34,15 @@ class Blocking:
     tfidf_least: float = 0.35
     tfidf_terms: int = 40_000
     key_mode: str = "raw"
-    compose: bool = False
+    compose: bool = True
 
 
 def prepare(records: DataFrame, how: Blocking = Blocking()) -> DataFrame:
     """Standard records -> with their normal forms. Rows without a country take part in nothing."""
-    name = text.normalize_name("business_name", compose=how.compose)
-    address = text.normalize_address("business_address", compose=how.compose)
-    out = records.filter("country <> ''").select("entity_id", "business_name", "business_address", "country", "source", name.alias("norm_name"), address.alias("norm_address"), text.house_number("business_address", compose=how.compose).alias("house"))
+    whole = text.composed if how.compose else text.filled
+    rows = records.filter("country <> ''").select("entity_id", "business_name", "business_address", "country", "source", whole("business_name").alias("_name"), whole("business_address").alias("_address"))
+    name, address = text.normalize_name("_name", compose=False), text.normalize_address("_address", compose=False)
+    out = rows.select("entity_id", "business_name", "business_address", "country", "source", name.alias("norm_name"), address.alias("norm_address"), text.house_number("_address", compose=False).alias("house"))
     key = F.col("business_name") if how.key_mode == "raw" else F.col("norm_name")
     return out.select("*", key.alias("key_name"), text.distinctive_tokens(F.col("norm_name")).alias("tokens"), F.array_distinct(text.address_tokens(F.col("norm_address"))).alias("address_tokens"))
 
@@ -102,23 +105,51 @@ def rarest_tokens(s1: DataFrame, pool: DataFrame, count: int = 5) -> DataFrame:
     return left.join(df, ["country", "key"], "left").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= count).drop("place")
 
 
+def numbered(records: DataFrame) -> DataFrame:
+    """entity_id, source, no: distinct ids with numbers in the same order, so pairs of numbers can be counted and ranked in
+    place of pairs of ids."""
+    ids = records.select("entity_id", "source").distinct().repartitionByRange("entity_id", "source").sortWithinPartitions("entity_id", "source")
+    return stage.materialize(ids.withColumn("no", F.monotonically_increasing_id()), "numbered")
+
+
 def by_address(s1: DataFrame, pool: DataFrame, how: Blocking = Blocking()) -> DataFrame:
     """House number with name prefix (3), each of the rarest address tokens (2) and house number (1): weights are summed;
-    the best `top`, with score and place."""
+    the best `top`, equal ones by id, with score and place. Pairs are of numbers until they are ranked."""
     s1 = s1.filter("business_address <> '' OR house IS NOT NULL")
+    names = [numbered(d) for d in (s1, pool)]
+    s1, pool = (d.join(n, ["entity_id", "source"]).drop("entity_id").withColumnRenamed("no", "entity_id") for d, n in zip((s1, pool), names, strict=True))
     _, right = _sides(s1, pool, _country() | {"key": F.explode("address_tokens")})
     by_token = rarest_tokens(s1, pool, how.rarest).filter(F.col("df") <= how.token_df).drop("df").join(right, ["country", "key"])
-    paths = [(by_house_and_prefix(s1, pool, 3, how.token_df), 3), (by_token.select(*PAIR), 2), (by_house(s1, pool, how.token_df), 1)]
-    first, *rest = [p.withColumn("weight", F.lit(w)) for p, w in paths]
+    paths = [(by_house_and_prefix(s1, pool, 3, how.token_df), 3), (by_token, 2), (by_house(s1, pool, how.token_df), 1)]
+    first, *rest = [p.select("s1_entity_id", "candidate_entity_id", F.lit(w).alias("weight")) for p, w in paths]
     for p in rest:
         first = first.unionByName(p)
-    return ranked(first.groupBy(*PAIR).agg(F.sum("weight").alias("score")), F.col("score"), how.top)
+    best = ranked(first.groupBy("s1_entity_id", "candidate_entity_id").agg(F.sum("weight").alias("score")), F.col("score"), how.top)
+    x, y = names
+    out = best.join(x.select(F.col("no").alias("s1_entity_id"), F.col("entity_id").alias("x")), "s1_entity_id")
+    out = out.join(y.select(F.col("no").alias("candidate_entity_id"), F.col("entity_id").alias("y"), F.col("source").alias("candidate_source")), "candidate_entity_id")
+    return out.select(F.col("x").alias("s1_entity_id"), F.col("y").alias("candidate_entity_id"), "candidate_source", "score", "place")
 
 
 def by_name_tokens(s1: DataFrame, pool: DataFrame, how: Blocking = Blocking()) -> DataFrame:
-    """Number of common distinctive name tokens that at most `token_df` pool rows have; the best `top`."""
-    pairs = key_join(s1, pool, _country() | {"key": F.explode("tokens")}, how.token_df)
-    return ranked(pairs.groupBy(*PAIR).agg(F.count("*").alias("score")), F.col("score"), how.top)
+    """Number of common distinctive name tokens that at most `token_df` pool rows have; the best `top`, equal ones by id.
+
+    s1 rows of a country with the same tokens have the same candidates, so each distinct set of tokens is looked up once,
+    against the distinct sets of the pool; of a pool set only its first `top` ids by order can come among the best.
+    """
+    sets = lambda d: d.select("entity_id", "source", "country", F.array_sort("tokens").alias("tokens")).filter(F.size("tokens") > 0)
+    mine, theirs = sets(s1), sets(pool)
+    wanted, held = (d.groupBy("country", "tokens").agg(F.count("*").alias("n")) for d in (mine, theirs))
+    small = held.select("country", F.explode("tokens").alias("key"), "n").groupBy("country", "key").agg(F.sum("n").alias("df")).filter(F.col("df") <= how.token_df).drop("df")
+    x = wanted.select(F.col("tokens").alias("x"), "country", F.explode("tokens").alias("key")).join(small, ["country", "key"])
+    y = held.select(F.col("tokens").alias("y"), "country", F.explode("tokens").alias("key"))
+    met = x.join(y, ["country", "key"]).groupBy("country", "x", "y").agg(F.count("*").alias("score"))
+    ids = theirs.distinct().withColumn("nth", F.row_number().over(Window.partitionBy("country", "tokens").orderBy("entity_id"))).filter(F.col("nth") <= how.top)
+    ids = ids.select("country", F.col("tokens").alias("y"), F.col("entity_id").alias("candidate_entity_id"), F.col("source").alias("candidate_source"))
+    order = Window.partitionBy("country", "x").orderBy(F.desc("score"), "candidate_entity_id")
+    best = met.join(ids, ["country", "y"]).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= how.top).drop("y")
+    ask = mine.distinct().select(F.col("entity_id").alias("s1_entity_id"), "country", F.col("tokens").alias("x"))
+    return ask.join(best, ["country", "x"]).select(*PAIR, "score", "place")
 
 
 def by_token_overlap(queries: DataFrame, index: DataFrame, least: int = 1, top: int = 50) -> DataFrame:
@@ -161,7 +192,12 @@ def candidates(s1: DataFrame, pool: DataFrame, how: Blocking = Blocking()) -> Da
     return out.select("s1_entity_id", "candidate_entity_id", F.col("at.candidate_source").alias("candidate_source"), F.col("at.priority").alias("priority"), "rank")
 
 
+def prepared(records: DataFrame, how: Blocking = Blocking()) -> DataFrame:
+    """`prepare`, written to the shared folder and read again: channels read its columns, not the records."""
+    return stage.materialize(prepare(records, how), "prepared")
+
+
 def generate(s1: DataFrame, s2: DataFrame, s3: DataFrame | None = None, how: Blocking = Blocking()) -> DataFrame:
     """Standard records of the reference table and the pools -> candidate pairs."""
     pool = s2 if s3 is None else s2.unionByName(s3)
-    return candidates(prepare(s1, how), prepare(pool, how), how)
+    return candidates(prepared(s1, how), prepared(pool, how), how)

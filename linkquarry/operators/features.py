@@ -7,23 +7,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import fixed, text
 from ..sources import tables
 
 FEATURES = fixed.MODEL_FEATURES
 IDENTITY = ("s1_entity_id", "candidate_entity_id", "candidate_source")
+#: Columns and types of a training shard's file.
+TRAINING_ROW = ", ".join([*(f"{c} string" for c in IDENTITY), *(f"{f} double" for f in FEATURES), "label int"])
 
 
-def describe(records: DataFrame, compose: bool = False) -> DataFrame:
-    """entity_id, source, country and what features need of a record."""
+def describe(records: DataFrame, compose: bool = True) -> DataFrame:
+    """entity_id, source, country and what features need of a record. Prepared records keep the forms that they have."""
+    if "norm_name" in records.columns:
+        out = records.select("entity_id", "source", "country", F.col("norm_name").alias("name"), F.col("norm_address").alias("address"), "house")
+        return _described(out)
     name, address = text.normalize_name("business_name", compose=compose), text.normalize_address("business_address", compose=compose)
     out = records.select("entity_id", "source", "country", name.alias("name"), address.alias("address"), text.house_number("business_address", compose=compose).alias("house"))
+    return _described(out)
+
+
+def _described(out: DataFrame) -> DataFrame:
     grams = [text.grams(F.col("name"), n).alias(f"grams{n}") for n in (2, 3)]
     return out.select("*", F.array_distinct(text.name_tokens(F.col("name"))).alias("name_set"), F.get(text.name_tokens(F.col("name")), F.lit(0)).alias("first_token"), text.address_tokens(F.col("address")).alias("address_set"), *grams)
 
 
-def pair_features(pairs: DataFrame, s1: DataFrame, pool: DataFrame, compose: bool = False) -> DataFrame:
+def pair_features(pairs: DataFrame, s1: DataFrame, pool: DataFrame, compose: bool = True) -> DataFrame:
     """pairs (the identity columns) with records of both sides -> identity and features, a row for each pair. A pair whose
     record is missing, or whose source is neither S2 nor S3, raises when the result is read."""
     drop = lambda d, side, key: d.select(*[F.col(c).alias(f"{side}_{c}") for c in d.columns if c not in key])
@@ -141,10 +151,17 @@ def stratified_split(spine: DataFrame, ratio: float = 0.2, seed: int = 42) -> Da
     of each stratum the first floor(n * ratio) by hash."""
     kind = F.when(F.size("ids") == 0, "singleton").when(F.size("ids") == 1, "single").otherwise("multi")
     rows = spine.select("s1_entity_id", F.concat_ws(":", "country", kind).alias("stratum"), F.md5(F.concat(F.lit(f"{seed}:"), F.col("s1_entity_id")).cast("binary")).alias("h"))
-    from pyspark.sql.window import Window
-
-    order, whole = Window.partitionBy("stratum").orderBy("h", "s1_entity_id"), Window.partitionBy("stratum")
-    return rows.select("s1_entity_id", "stratum", (F.row_number().over(order) <= F.floor(F.count("*").over(whole) * F.lit(ratio))).alias("validation"))
+    # a stratum's cut lies in one bin of its hashes: only that bin's ids are ranked, not a stratum in one task
+    rows = rows.withColumn("bin", F.substring("h", 1, 4))
+    bins = rows.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
+    want = bins.groupBy("stratum").agg(F.floor(F.sum("n") * F.lit(ratio)).alias("want"))
+    running = Window.partitionBy("stratum").orderBy("bin")
+    edges = bins.withColumn("upto", F.sum("n").over(running)).join(want, "stratum").select("stratum", "bin", (F.col("upto") - F.col("n")).alias("before"), "upto", "want")
+    placed = rows.join(edges, ["stratum", "bin"])
+    sure = placed.filter((F.col("upto") <= F.col("want")) | (F.col("before") >= F.col("want"))).select("s1_entity_id", "stratum", (F.col("upto") <= F.col("want")).alias("validation"))
+    inside = placed.filter((F.col("upto") > F.col("want")) & (F.col("before") < F.col("want")))
+    place = F.row_number().over(Window.partitionBy("stratum", "bin").orderBy("h", "s1_entity_id"))
+    return sure.unionByName(inside.select("s1_entity_id", "stratum", (F.col("before") + place <= F.col("want")).alias("validation")))
 
 
 def feature_summary(rows: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import stage
 from .features import FEATURES, IDENTITY, model_features
 
 
@@ -44,9 +45,9 @@ def train(training: DataFrame, validation: DataFrame | None = None, how: Boostin
     if validation is not None:
         rows = rows.unionByName(validation.select(*FEATURES, F.col("label").cast("double").alias("label"), F.lit(True).alias("held")))
         gbt = gbt.setValidationIndicatorCol("held")
-    rows = rows.persist()  # each tree reads them
+    # written once: each tree reads what the boosting makes of them, which it keeps itself
+    rows = stage.materialize(rows, "boosting")
     model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), gbt]).fit(rows)
-    rows.unpersist()
     if path:
         model.write().overwrite().save(path)
     return model

@@ -14,7 +14,7 @@ PERCENTILES = (1, 5, 25, 50, 75, 95, 99)
 
 
 def pct(part: Column, whole: Column, digits: int = 4) -> Column:
-    return F.when(whole > 0, F.round(F.lit(100.0) * part / whole, digits)).otherwise(0.0)
+    return F.when(whole > 0, F.bround(F.lit(100.0) * part / whole, digits)).otherwise(0.0)
 
 
 def columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -22,7 +22,7 @@ def columns(df: DataFrame, names: list[str]) -> DataFrame:
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), df[c].cast("string").alias("value")) for c in names])).alias("x")).select("x.name", "x.value")
     missing = F.col("value").isNull() | (text.strip(F.col("value")) == "")
     size = F.when(~missing, F.length("value"))
-    out = long.groupBy("name").agg(F.count("*").alias("n_rows"), F.count_if(missing).alias("missing"), F.min(size).alias("min_length"), F.max(size).alias("max_length"), F.round(F.avg(size), 4).alias("mean_length"))
+    out = long.groupBy("name").agg(F.count("*").alias("n_rows"), F.count_if(missing).alias("missing"), F.min(size).alias("min_length"), F.max(size).alias("max_length"), F.bround(F.avg(size), 4).alias("mean_length"))
     return out.withColumn("missing_pct", pct(F.col("missing"), F.col("n_rows")))
 
 
@@ -195,7 +195,7 @@ def bucket_metrics(records: DataFrame) -> DataFrame:
         return F.transform(families[family], lambda k: F.struct(F.lit(family).alias("strategy"), k.alias("key")))
 
     long = records.select(F.explode(F.flatten(F.array(*map(named, families)))).alias("x")).select("x.*")
-    return long.groupBy("strategy", "key").agg(F.count("*").alias("n")).groupBy("strategy").agg(F.count("*").alias("unique_keys"), F.round(F.avg("n"), 2).alias("avg_bucket"), F.max("n").alias("max_bucket"))
+    return long.groupBy("strategy", "key").agg(F.count("*").alias("n")).groupBy("strategy").agg(F.count("*").alias("unique_keys"), F.bround(F.avg("n"), 2).alias("avg_bucket"), F.max("n").alias("max_bucket"))
 
 
 def ambiguity(records: DataFrame) -> DataFrame:

@@ -9,13 +9,14 @@ part records are those with the same part name and brand.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import blocking, decision, features, learning, profile, tfidf, validate
-from ..sources import tables
+from ..sources import stage, tables
 
 SUFFIXES = ("", " Inc.", ", LLC", " Pvt. Ltd.", " & Co", " SARL", " Limited")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,39 +55,63 @@ def part_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sides(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    how = blocking.Blocking()
-    return blocking.prepare(records.filter("source = 'S1'"), how), blocking.prepare(records.filter("source <> 'S1'"), how)
+    """The reference table and the pool, prepared together in one pass over the records and written."""
+    ready = blocking.prepared(records)
+    return ready.filter("source = 'S1'"), ready.filter("source <> 'S1'")
 
 
-def part_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return sides(part_records(spark, sf_dir))
+class Parts:
+    """The tables of the part records that queries share; each is made once a query."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
-def part_truth_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = part_truth(spark, sf_dir).groupBy("s1_entity_id").agg(F.collect_set("candidate_entity_id").alias("ids"))
-    spine = tables.spine(part_records(spark, sf_dir).filter("source = 'S1'"))
-    return spine.join(links, "s1_entity_id", "left").select("s1_entity_id", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
+    @cached_property
+    def records(self) -> DataFrame:
+        return part_records(self.spark, self.sf_dir)
 
+    @cached_property
+    def sides(self) -> tuple[DataFrame, DataFrame]:
+        return sides(self.records)
 
-def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.candidates(*part_sides(spark, sf_dir))
+    @cached_property
+    def truth(self) -> DataFrame:
+        return part_truth(self.spark, self.sf_dir)
 
+    @cached_property
+    def spine(self) -> DataFrame:
+        return self.records.filter("source = 'S1'").select(F.col("entity_id").alias("s1_entity_id"), "country")
 
-def part_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate pairs with half the name and half the address token similarity as probability."""
-    side = lambda d, p: d.select(F.col("entity_id").alias(f"{p}_id"), F.array_distinct(text.name_tokens(F.col("norm_name"))).alias(f"{p}_n"), F.col("address_tokens").alias(f"{p}_a"))
-    s1, pool = part_sides(spark, sf_dir)
-    rows = part_pairs(spark, sf_dir).join(side(s1, "x"), F.col("s1_entity_id") == F.col("x_id")).join(side(pool, "y"), F.col("candidate_entity_id") == F.col("y_id"))
-    return rows.select("s1_entity_id", "candidate_entity_id", (F.lit(0.5) * text.jaccard(F.col("x_n"), F.col("y_n")) + F.lit(0.5) * text.jaccard(F.col("x_a"), F.col("y_a"))).alias("match_probability"))
+    @cached_property
+    def truth_lists(self) -> DataFrame:
+        links = self.truth.groupBy("s1_entity_id").agg(F.collect_set("candidate_entity_id").alias("ids"))
+        spine = tables.spine(self.records.filter("source = 'S1'"))
+        return spine.join(links, "s1_entity_id", "left").select("s1_entity_id", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return stage.materialize(blocking.candidates(*self.sides), "pairs")
 
-def part_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return part_records(spark, sf_dir).filter("source = 'S1'").select(F.col("entity_id").alias("s1_entity_id"), "country")
+    @cached_property
+    def features(self) -> DataFrame:
+        return features.pair_features(self.pairs, *self.sides)
 
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Candidate pairs with half the name and half the address token similarity as probability."""
+        side = lambda d, p: d.select(F.col("entity_id").alias(f"{p}_id"), F.array_distinct(text.name_tokens(F.col("norm_name"))).alias(f"{p}_n"), F.col("address_tokens").alias(f"{p}_a"))
+        s1, pool = self.sides
+        rows = self.pairs.join(side(s1, "x"), F.col("s1_entity_id") == F.col("x_id")).join(side(pool, "y"), F.col("candidate_entity_id") == F.col("y_id"))
+        return rows.select("s1_entity_id", "candidate_entity_id", (F.lit(0.5) * text.jaccard(F.col("x_n"), F.col("y_n")) + F.lit(0.5) * text.jaccard(F.col("x_a"), F.col("y_a"))).alias("match_probability"))
 
-def part_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = part_records(spark, sf_dir)
-    return profile.linked(part_truth(spark, sf_dir), profile.cleaned(r.filter("source = 'S1'"), fold=False), profile.cleaned(r.filter("source <> 'S1'"), fold=False))
+    @cached_property
+    def predicted(self) -> DataFrame:
+        return self.scored.filter(F.col("match_probability") >= THRESHOLD)
+
+    @cached_property
+    def links(self) -> DataFrame:
+        r = stage.materialize(profile.cleaned(self.records, fold=False).join(self.records.select("entity_id", "source"), "entity_id"), "cleaned")
+        return profile.linked(self.truth, r.filter("source = 'S1'").drop("source"), r.filter("source <> 'S1'").drop("source"))
 
 
 THRESHOLD = 0.6
@@ -98,9 +123,8 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def gbt_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = part_records(spark, sf_dir)
-    s1, pool = r.filter("source = 'S1'"), r.filter("source <> 'S1'")
-    rows = features.labelled(features.pair_features(part_pairs(spark, sf_dir), s1, pool), part_truth_lists(spark, sf_dir)).persist()
+    p = Parts(spark, sf_dir)
+    rows = stage.materialize(features.labelled(p.features, p.truth_lists), "feature-rows")
     training, held = features.entity_split(rows)
     model = learning.train(training, held)
     return learning.predict(model, rows.drop("label"))
@@ -125,7 +149,7 @@ def doc_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1, pool = (d.select("entity_id", "country", "source", F.col("key_name").alias("text")) for d in part_sides(spark, sf_dir))
+    s1, pool = (d.select("entity_id", "country", "source", F.col("key_name").alias("text")) for d in Parts(spark, sf_dir).sides)
     return _rounded(tfidf.similar(s1, pool))
 
 
@@ -146,35 +170,39 @@ def _profile_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.columns(part_records(spark, sf_dir), ["business_name", "business_address", "country"])
 
 
+def of(make: Callable[[Parts], DataFrame]) -> Query:
+    return lambda spark, sf_dir: make(Parts(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "name_columns": name_columns,
     "address_columns": address_columns,
     "shard_md5": lambda s, d: table(s, d, "orders").select("o_orderkey", tables.shard_of(F.col("o_orderkey").cast("string")).alias("shard")),
-    "block_exact": lambda s, d: blocking.by_exact_name(*part_sides(s, d)),
+    "block_exact": lambda s, d: blocking.by_exact_name(*Parts(s, d).sides),
     "block_exact_docs": lambda s, d: blocking.by_exact_name(*sides(doc_records(s, d))),
-    "block_prefix5": lambda s, d: blocking.by_name_prefix(*part_sides(s, d)),
-    "block_house": lambda s, d: blocking.by_house(*part_sides(s, d)),
-    "block_house_prefix3": lambda s, d: blocking.by_house_and_prefix(*part_sides(s, d)),
-    "block_address_tokens": lambda s, d: blocking.by_address_tokens(*part_sides(s, d)),
-    "block_address_multi": lambda s, d: blocking.by_address(*part_sides(s, d)).select(*PAIRS, "score", "place"),
-    "block_name_tokens": lambda s, d: blocking.by_name_tokens(*part_sides(s, d)).select(*PAIRS, "score", "place"),
+    "block_prefix5": lambda s, d: blocking.by_name_prefix(*Parts(s, d).sides),
+    "block_house": lambda s, d: blocking.by_house(*Parts(s, d).sides),
+    "block_house_prefix3": lambda s, d: blocking.by_house_and_prefix(*Parts(s, d).sides),
+    "block_address_tokens": lambda s, d: blocking.by_address_tokens(*Parts(s, d).sides),
+    "block_address_multi": lambda s, d: blocking.by_address(*Parts(s, d).sides).select(*PAIRS, "score", "place"),
+    "block_name_tokens": lambda s, d: blocking.by_name_tokens(*Parts(s, d).sides).select(*PAIRS, "score", "place"),
     "token_overlap": doc_token_overlap,
     "tfidf_topk": part_tfidf,
-    "candidates": part_pairs,
-    "candidate_lists": lambda s, d: decision.candidate_lists(part_pairs(s, d), part_spine(s, d)),
-    "pair_features": lambda s, d: _rounded(features.pair_features(part_pairs(s, d), part_records(s, d).filter("source = 'S1'"), part_records(s, d).filter("source <> 'S1'"))),
-    "label_pairs": lambda s, d: features.labelled(part_pairs(s, d), part_truth_lists(s, d)).select(*PAIRS, "label"),
-    "entity_split": lambda s, d: features.split_ids(part_spine(s, d), 0.2),
-    "stratified_split": lambda s, d: features.stratified_split(part_truth_lists(s, d).join(part_spine(s, d), "s1_entity_id")),
-    "shard_stats": lambda s, d: _rounded(features.shard_checks(features.labelled(part_pairs(s, d), part_truth_lists(s, d)), part_records(s, d).filter("source = 'S1'"), part_truth_lists(s, d), 0)),
-    "apply_threshold": lambda s, d: decision.apply_threshold(part_scored(s, d), THRESHOLD, part_spine(s, d)),
-    "threshold_sweep": lambda s, d: _rounded(decision.threshold_sweep(part_scored(s, d), part_truth(s, d), part_spine(s, d), decision.grid())),
-    "entity_f05": lambda s, d: _rounded(decision.per_entity(part_scored(s, d).filter(F.col("match_probability") >= THRESHOLD), part_truth(s, d), part_spine(s, d))),
-    "macro_f05": lambda s, d: _rounded(decision.macro(decision.per_entity(part_scored(s, d).filter(F.col("match_probability") >= THRESHOLD), part_truth(s, d), part_spine(s, d)))),
-    "blocking_quality": lambda s, d: _rounded(decision.recall(part_pairs(s, d), part_truth(s, d), part_spine(s, d))),
-    "error_classes": lambda s, d: decision.error_classes(part_scored(s, d).filter(F.col("match_probability") >= THRESHOLD), part_truth(s, d), part_spine(s, d)),
-    "error_summary": lambda s, d: decision.error_summary(decision.error_classes(part_scored(s, d).filter(F.col("match_probability") >= THRESHOLD), part_truth(s, d), part_spine(s, d))),
-    "inconsistent_matches": lambda s, d: decision.inconsistent(part_truth(s, d), part_pairs(s, d)),
+    "candidates": lambda s, d: blocking.candidates(*Parts(s, d).sides),
+    "candidate_lists": of(lambda p: decision.candidate_lists(p.pairs, p.spine)),
+    "pair_features": of(lambda p: _rounded(p.features)),
+    "label_pairs": of(lambda p: features.labelled(p.pairs, p.truth_lists).select(*PAIRS, "label")),
+    "entity_split": of(lambda p: features.split_ids(p.spine, 0.2)),
+    "stratified_split": of(lambda p: features.stratified_split(p.truth_lists.join(p.spine, "s1_entity_id"))),
+    "shard_stats": of(lambda p: _rounded(features.shard_checks(features.labelled(p.pairs, p.truth_lists), p.records.filter("source = 'S1'"), p.truth_lists, 0))),
+    "apply_threshold": of(lambda p: decision.apply_threshold(p.scored, THRESHOLD, p.spine)),
+    "threshold_sweep": of(lambda p: _rounded(decision.threshold_sweep(p.scored, p.truth, p.spine, decision.grid()))),
+    "entity_f05": of(lambda p: _rounded(decision.per_entity(p.predicted, p.truth, p.spine))),
+    "macro_f05": of(lambda p: _rounded(decision.macro(decision.per_entity(p.predicted, p.truth, p.spine)))),
+    "blocking_quality": of(lambda p: _rounded(decision.recall(p.pairs, p.truth, p.spine))),
+    "error_classes": of(lambda p: decision.error_classes(p.predicted, p.truth, p.spine)),
+    "error_summary": of(lambda p: decision.error_summary(decision.error_classes(p.predicted, p.truth, p.spine))),
+    "inconsistent_matches": of(lambda p: decision.inconsistent(p.truth, p.pairs)),
     "rule_counts": part_rules,
     "profile_source": _profile_source,
     "profile_percentiles": lambda s, d: profile.length_percentiles(table(s, d, "documents").withColumn("country", F.col("lang")), "text", "country"),
@@ -186,10 +214,10 @@ QUERIES: dict[str, Query] = {
     "address_structure": lambda s, d: profile.addresses(part_records(s, d)),
     "address_separators": lambda s, d: profile.separators(part_records(s, d)),
     "address_abbreviations": lambda s, d: profile.abbreviations(part_records(s, d)),
-    "truth_distribution": lambda s, d: profile.truth_distribution(part_truth_lists(s, d)),
-    "truth_histogram": lambda s, d: profile.truth_histogram(part_truth_lists(s, d)),
-    "match_difficulty": lambda s, d: _rounded(profile.difficulty(part_links(s, d))),
-    "blocking_recall": lambda s, d: profile.blocking_recall(part_links(s, d)),
+    "truth_distribution": of(lambda p: profile.truth_distribution(p.truth_lists)),
+    "truth_histogram": of(lambda p: profile.truth_histogram(p.truth_lists)),
+    "match_difficulty": of(lambda p: _rounded(profile.difficulty(p.links))),
+    "blocking_recall": of(lambda p: profile.blocking_recall(p.links)),
     "bucket_metrics": lambda s, d: profile.bucket_metrics(profile.cleaned(part_records(s, d), fold=False)),
     "ambiguity": lambda s, d: profile.ambiguity(profile.cleaned(part_records(s, d), fold=False)),
     "source_totals": lambda s, d: profile.totals({f"S{k}": part_records(s, d).filter(F.col("source") == f"S{k}") for k in (1, 2, 3)}),
@@ -267,9 +295,28 @@ _NAMES = (
     _exploded("tokens", "pool", "nt") + ", " + _exploded("tokens", "s1", "ns")
     + f", ndf AS (SELECT country, key FROM nt GROUP BY ALL HAVING count(*) <= 2000), named AS (SELECT * FROM (SELECT {_P}, count(*) AS score, CAST(row_number() OVER (PARTITION BY s.entity_id ORDER BY count(*) DESC, p.entity_id) AS INTEGER) AS place FROM ns s JOIN ndf USING (country, key) JOIN nt p USING (country, key) GROUP BY 1, 2, 3) WHERE place <= 30)"
 )
+def _tfidf_ctes() -> str:
+    """The tables behind TF-IDF, the last of them `near`: pairs with similarity and place."""
+    word = "(' ' || w || ' ')"
+    of = lambda n: f"list_transform(range(1, greatest(length({word}) - {n} + 1, 1) + 1), lambda i: substr({word}, i, {n}))"
+    grams = f"flatten(list_transform(list_filter(string_split(lower(business_name), ' '), lambda w: w <> ''), lambda w: list_concat({of(3)}, CASE WHEN length({word}) > 3 THEN {of(4)} ELSE [] END)))"
+    return (
+        f"g AS (SELECT entity_id, country, source, unnest({grams}) AS term FROM prep), tf AS (SELECT entity_id, country, source, term, count(*) AS tf FROM g GROUP BY ALL), docs AS (SELECT country, count(*) AS n FROM pool GROUP BY 1), "
+        "terms AS (SELECT country, term, count(*) AS df, sum(tf) AS total FROM tf WHERE source <> 'S1' GROUP BY ALL), need AS (SELECT country, n, CASE WHEN n < 5 OR max(df) < 2 THEN 1 ELSE 2 END AS need FROM terms JOIN docs USING (country) GROUP BY country, n), "
+        "vocab AS (SELECT country, term, ln((n + 1) / (df + 1)) + 1 AS idf FROM terms JOIN need USING (country) WHERE df >= need QUALIFY row_number() OVER (PARTITION BY country ORDER BY total DESC, term) <= 40000), "
+        "raw AS (SELECT entity_id, country, source, term, (ln(tf) + 1) * idf AS w FROM tf JOIN vocab USING (country, term)), unit AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS u FROM raw), "
+        "sim AS (SELECT a.entity_id AS s1_entity_id, b.entity_id AS candidate_entity_id, b.source AS candidate_source, sum(a.u * b.u) AS similarity FROM unit a JOIN unit b USING (country, term) WHERE a.source = 'S1' AND b.source <> 'S1' GROUP BY ALL HAVING sum(a.u * b.u) >= 0.35), "
+        "near AS (SELECT s1_entity_id, candidate_entity_id, candidate_source, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY s1_entity_id ORDER BY round(similarity, 9) DESC, candidate_entity_id) AS INTEGER) AS place FROM sim QUALIFY place <= 40)"
+    )
+
+
+def _tfidf_sql() -> str:
+    return f"WITH {_PREP}, {_tfidf_ctes()} SELECT * FROM near"
+
+
 _CANDIDATES = (
-    f"{_PREP}, {_ADDRESS}, {_NAMES}, channels AS (SELECT *, 1 AS priority, 0 AS place FROM ({_keyed('r.business_name', 100)}) UNION ALL SELECT s1_entity_id, candidate_entity_id, candidate_source, 2, place FROM addr "
-    f"UNION ALL SELECT *, 3, 0 FROM ({_keyed('substr(r.business_name, 1, 5)', 100)}) UNION ALL SELECT s1_entity_id, candidate_entity_id, candidate_source, 4, place FROM named), "
+    f"{_PREP}, {_ADDRESS}, {_NAMES}, {_tfidf_ctes()}, channels AS (SELECT *, 1 AS priority, 0 AS place FROM ({_keyed('r.business_name', 100)}) UNION ALL SELECT s1_entity_id, candidate_entity_id, candidate_source, 2, place FROM addr "
+    f"UNION ALL SELECT *, 3, 0 FROM ({_keyed('substr(r.business_name, 1, 5)', 100)}) UNION ALL SELECT s1_entity_id, candidate_entity_id, candidate_source, 4, place FROM named UNION ALL SELECT s1_entity_id, candidate_entity_id, candidate_source, 5, place FROM near), "
     "firsts AS (SELECT s1_entity_id, candidate_entity_id, candidate_source, min({'p': priority, 'l': place}) AS best FROM channels GROUP BY ALL), "
     "pairs AS (SELECT * FROM (SELECT s1_entity_id, candidate_entity_id, candidate_source, CAST(best.p AS INTEGER) AS priority, CAST(row_number() OVER (PARTITION BY s1_entity_id ORDER BY best.p, best.l, candidate_entity_id) AS INTEGER) AS rank FROM firsts) WHERE rank <= 100)"
 )
@@ -343,20 +390,6 @@ def _names_sql() -> str:
     )
 
 
-def _tfidf_sql() -> str:
-    word = "(' ' || w || ' ')"
-    of = lambda n: f"list_transform(range(1, greatest(length({word}) - {n} + 1, 1) + 1), lambda i: substr({word}, i, {n}))"
-    grams = f"flatten(list_transform(list_filter(string_split(lower(business_name), ' '), lambda w: w <> ''), lambda w: list_concat({of(3)}, CASE WHEN length({word}) > 3 THEN {of(4)} ELSE [] END)))"
-    return (
-        f"WITH {_PREP}, g AS (SELECT entity_id, country, source, unnest({grams}) AS term FROM prep), tf AS (SELECT entity_id, country, source, term, count(*) AS tf FROM g GROUP BY ALL), docs AS (SELECT country, count(*) AS n FROM pool GROUP BY 1), "
-        "terms AS (SELECT country, term, count(*) AS df, sum(tf) AS total FROM tf WHERE source <> 'S1' GROUP BY ALL), need AS (SELECT country, n, CASE WHEN n < 5 OR max(df) < 2 THEN 1 ELSE 2 END AS need FROM terms JOIN docs USING (country) GROUP BY country, n), "
-        "vocab AS (SELECT country, term, ln((n + 1) / (df + 1)) + 1 AS idf FROM terms JOIN need USING (country) WHERE df >= need QUALIFY row_number() OVER (PARTITION BY country ORDER BY total DESC, term) <= 40000), "
-        "raw AS (SELECT entity_id, country, source, term, (ln(tf) + 1) * idf AS w FROM tf JOIN vocab USING (country, term)), unit AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS u FROM raw), "
-        "sim AS (SELECT a.entity_id AS s1_entity_id, b.entity_id AS candidate_entity_id, b.source AS candidate_source, sum(a.u * b.u) AS similarity FROM unit a JOIN unit b USING (country, term) WHERE a.source = 'S1' AND b.source <> 'S1' GROUP BY ALL HAVING sum(a.u * b.u) >= 0.35) "
-        "SELECT s1_entity_id, candidate_entity_id, candidate_source, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY s1_entity_id ORDER BY round(similarity, 9) DESC, candidate_entity_id) AS INTEGER) AS place FROM sim QUALIFY place <= 40"
-    )
-
-
 def _clean(x: str) -> str:
     return f"trim(regexp_replace(replace(lower({x}), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -388,7 +421,7 @@ def _recall_sql() -> str:
         "06_city_country": f"city = b_city AND {same}", "07_state": "false", "08_number_country": f"list_has_any(nums, b_nums) AND {same}", "09_address_token_country": f"list_has_any(toks, b_toks) AND {same}",
         "10_composite": f"(list_has_any(nt, b_nt) AND {same}) OR (list_has_any(nums, b_nums) AND w1 = b_w1 AND w1 <> '' AND {same}) OR (length(list_intersect(toks, b_toks)) >= 2 AND {same} AND {_dice('cname', 'b_cname')} >= 0.4)",
     }
-    return f"WITH {_LINKED} " + " UNION ALL ".join(f"SELECT '{k}' AS strategy, count(*) FILTER (coalesce({t}, false)) AS hits, count(*) AS n_pairs, CASE WHEN count(*) > 0 THEN round(100.0 * count(*) FILTER (coalesce({t}, false)) / count(*), 3) ELSE 0.0 END AS recall_pct FROM linked" for k, t in tests.items())
+    return f"WITH {_LINKED} " + " UNION ALL ".join(f"SELECT '{k}' AS strategy, count(*) FILTER (coalesce({t}, false)) AS hits, count(*) AS n_pairs, CASE WHEN count(*) > 0 THEN round_even(100.0 * count(*) FILTER (coalesce({t}, false)) / count(*), 3) ELSE 0.0 END AS recall_pct FROM linked" for k, t in tests.items())
 
 
 def _buckets_sql() -> str:
@@ -399,7 +432,7 @@ def _buckets_sql() -> str:
         "09_address_token_country": "list_transform(list_sort(toks)[1:2], lambda k: k || '_' || country)", "10_first_word_number": "CASE WHEN w1 <> '' AND num IS NOT NULL THEN [w1 || '_' || num || '_' || country] ELSE [] END",
     }
     keys = " UNION ALL ".join(f"SELECT '{f}' AS strategy, unnest({k}) AS key FROM clean" for f, k in fam.items())
-    return f"WITH {_CLEAN}, k AS ({keys}), n AS (SELECT strategy, key, count(*) AS n FROM k GROUP BY ALL) SELECT strategy, count(*) AS unique_keys, round(avg(n), 2) AS avg_bucket, max(n) AS max_bucket FROM n GROUP BY 1"
+    return f"WITH {_CLEAN}, k AS ({keys}), n AS (SELECT strategy, key, count(*) AS n FROM k GROUP BY ALL) SELECT strategy, count(*) AS unique_keys, round_even(avg(n), 2) AS avg_bucket, max(n) AS max_bucket FROM n GROUP BY 1"
 
 
 def _sweep_sql() -> str:
@@ -438,7 +471,7 @@ ORACLE_SQL: dict[str, str] = {
     "block_prefix5": f"WITH {_PREP} {_keyed('substr(r.business_name, 1, 5)', 100)}",
     "block_house": f"WITH {_PREP} {_keyed('lower(r.house)', 2000)}",
     "block_house_prefix3": f"WITH {_PREP} " + _keyed("concat_ws('::', nullif(lower(r.house), ''), nullif(substr(r.business_name, 1, 3), ''))", 2000).replace("<> ''", "LIKE '%::%'"),
-    "block_address_tokens": f"WITH {_PREP}, {_exploded('address_tokens', 'pool', 'pt')}, {_exploded('address_tokens', 's1', 'st')}, df AS (SELECT country, key FROM pt GROUP BY ALL HAVING count(*) <= 200), u AS (SELECT DISTINCT {_P} FROM st s JOIN df USING (country, key) JOIN pt p USING (country, key)) SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY s1_entity_id ORDER BY candidate_entity_id) <= 100",
+    "block_address_tokens": f"WITH {_PREP}, {_exploded('address_tokens', 'pool', 'pt')}, {_exploded('address_tokens', 's1', 'st')}, df AS (SELECT country, key FROM pt GROUP BY ALL HAVING count(*) <= 2000), u AS (SELECT DISTINCT {_P} FROM st s JOIN df USING (country, key) JOIN pt p USING (country, key)) SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY s1_entity_id ORDER BY candidate_entity_id) <= 100",
     "block_address_multi": f"WITH {_PREP}, {_ADDRESS} SELECT * FROM addr",
     "block_name_tokens": f"WITH {_PREP}, {_NAMES} SELECT * FROM named",
     "token_overlap": f"WITH rec AS ({_DOC}), t AS (SELECT entity_id, source, unnest({sql_tokens('norm', fixed.GENERIC_NAME_TERMS)}) AS token FROM (SELECT *, {sql_norm_name('business_name')} AS norm FROM rec)), s AS (SELECT a.entity_id AS query_id, b.entity_id AS candidate_id, count(*) AS score FROM t a JOIN t b USING (token) WHERE a.source = 'S1' AND b.source <> 'S1' GROUP BY ALL) SELECT query_id, candidate_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) <= 50 AND score >= 2",
@@ -459,14 +492,14 @@ ORACLE_SQL: dict[str, str] = {
     "error_summary": f"{_ERRORS} SELECT country, kind, count(*) AS n FROM cls GROUP BY ALL",
     "inconsistent_matches": f"WITH {_CANDIDATES}, {_TRUTH} SELECT DISTINCT s1_entity_id, candidate_entity_id FROM truth ANTI JOIN pairs USING (s1_entity_id, candidate_entity_id)",
     "rule_counts": _rules_sql(),
-    "profile_source": f"WITH rec AS ({_PART}) " + " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n_rows, count(*) FILTER (coalesce(trim({c}), '') = '') AS missing, CAST(min({_LEN(c)}) AS INTEGER) AS min_length, CAST(max({_LEN(c)}) AS INTEGER) AS max_length, round(avg({_LEN(c)}), 4) AS mean_length, round(100.0 * count(*) FILTER (coalesce(trim({c}), '') = '') / count(*), 4) AS missing_pct FROM rec" for c in ("business_name", "business_address", "country")),
+    "profile_source": f"WITH rec AS ({_PART}) " + " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n_rows, count(*) FILTER (coalesce(trim({c}), '') = '') AS missing, CAST(min({_LEN(c)}) AS INTEGER) AS min_length, CAST(max({_LEN(c)}) AS INTEGER) AS max_length, round_even(avg({_LEN(c)}), 4) AS mean_length, round_even(100.0 * count(*) FILTER (coalesce(trim({c}), '') = '') / count(*), 4) AS missing_pct FROM rec" for c in ("business_name", "business_address", "country")),
     "profile_percentiles": _percentiles_sql(),
     "profile_countries": f"SELECT country AS value, count(*) AS n FROM ({_PART}) GROUP BY 1",
-    "name_duplication": f"{_DUP} SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS distinct_keys, count(*) FILTER (n > 1) AS duplicate_keys, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS duplicate_rows, round(100.0 * coalesce(sum(n) FILTER (n > 1), 0) / sum(n), 4) AS duplicate_pct FROM n",
+    "name_duplication": f"{_DUP} SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS distinct_keys, count(*) FILTER (n > 1) AS duplicate_keys, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS duplicate_rows, round_even(100.0 * coalesce(sum(n) FILTER (n > 1), 0) / sum(n), 4) AS duplicate_pct FROM n",
     "name_group_sizes": f"{_DUP} SELECT CASE WHEN n = 1 THEN '1' WHEN n <= 5 THEN '2-5' WHEN n <= 10 THEN '6-10' WHEN n <= 50 THEN '11-50' ELSE '50+' END AS size_group, count(*) AS n_keys FROM n GROUP BY 1",
     "frequent_names": f"{_DUP} SELECT key, n FROM n ORDER BY n DESC, key LIMIT 10",
     "name_collapsing": f"WITH c AS (SELECT DISTINCT business_name AS raw, {_clean('business_name')} AS c FROM ({_PART})), k AS (SELECT raw, coalesce(nullif(trim(regexp_replace(' ' || c, '(?: (?:{'|'.join(fixed.PROFILE_SUFFIXES)}))+$', '')), ''), c) AS key FROM c), n AS (SELECT key, count(*) AS n_raw, list_sort(list(raw)) AS raws FROM k WHERE key <> '' GROUP BY 1 HAVING count(*) > 1 ORDER BY n_raw DESC, key LIMIT 10) SELECT key, n_raw, array_to_string(raws[1:5], '|') AS raws FROM n",
-    "address_structure": f"SELECT country, count(*) AS n_rows, count(*) FILTER (trim(business_address) = '') AS missing, 0.0::DOUBLE AS postal_pct, CASE WHEN count(*) FILTER (trim(business_address) <> '') > 0 THEN round(100.0 * count(*) FILTER (regexp_matches(business_address, '\\b\\d+[a-zA-Z]?\\b')) / count(*) FILTER (trim(business_address) <> ''), 2) ELSE 0.0 END AS house_pct, 0.0::DOUBLE AS state_pct FROM ({_PART}) GROUP BY 1",
+    "address_structure": f"SELECT country, count(*) AS n_rows, count(*) FILTER (trim(business_address) = '') AS missing, 0.0::DOUBLE AS postal_pct, CASE WHEN count(*) FILTER (trim(business_address) <> '') > 0 THEN round_even(100.0 * count(*) FILTER (regexp_matches(business_address, '\\b\\d+[a-zA-Z]?\\b')) / count(*) FILTER (trim(business_address) <> ''), 2) ELSE 0.0 END AS house_pct, 0.0::DOUBLE AS state_pct FROM ({_PART}) GROUP BY 1",
     "address_separators": f"WITH i AS (SELECT country, unnest(regexp_extract_all(business_address, '[,;/|\\n]')) AS item FROM ({_PART})), n AS (SELECT country, item, count(*) AS n FROM i GROUP BY ALL) SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY country ORDER BY n DESC, item) <= 5",
     "address_abbreviations": f"WITH i AS (SELECT country, unnest(list_intersect(list_distinct(regexp_extract_all(lower(business_address), '\\b[a-z0-9]+\\b')), {_in(fixed.ADDRESS_ABBREVIATIONS)})) AS item FROM ({_PART})), n AS (SELECT country, item, count(*) AS n FROM i GROUP BY ALL) SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY country ORDER BY n DESC, item) <= 10",
     "truth_distribution": f"WITH rec AS ({_PART}), {_TRUTH}, q AS (SELECT *, length(ids) AS n, length(list_filter(ids, lambda x: x LIKE 'S2-%')) AS a, length(list_filter(ids, lambda x: x LIKE 'S3-%')) AS b FROM lists) SELECT count(*) AS entities, count(*) FILTER (n = 0) AS with_0, count(*) FILTER (n = 1) AS with_1, count(*) FILTER (n = 2) AS with_2, count(*) FILTER (n = 3) AS with_3, count(*) FILTER (n >= 4) AS with_4_or_more, CAST(sum(a) AS BIGINT) AS s2_links, CAST(sum(b) AS BIGINT) AS s3_links, count(*) FILTER (a > 0 AND b > 0) AS both, count(*) FILTER (a > 0 AND b = 0) AS only_s2, count(*) FILTER (a = 0 AND b > 0) AS only_s3, CAST(max(n) AS INTEGER) AS most_links, max_by(s1_entity_id, {{'n': n, 'i': s1_entity_id}}) AS most_linked FROM q",

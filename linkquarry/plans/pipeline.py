@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import blocking, decision, features, learning, validate
-from ..sources import tables
+from ..sources import stage, tables
 
 
 @dataclass(frozen=True)
@@ -52,14 +52,16 @@ def read_sources(spark: SparkSession, paths: Paths) -> tuple[DataFrame, DataFram
 
 def run(spark: SparkSession, paths: Paths, output: str | None = None, model: PipelineModel | str | None = None, threshold: float = 0.5, how: blocking.Blocking = blocking.Blocking(budget=50), check: bool = True) -> Result:
     """Candidates for all reference records and, with a model, scored pairs and match lists; written to `output` (one file
-    each, as results must be) and validated there. Everything up to the writes is one lazy plan."""
+    each, as results must be) and validated there. Prepared records, candidate pairs
+    and scores are written on the way, as several results read each."""
     s1, pool = read_sources(spark, paths)
     spine = tables.spine(s1)
-    pairs = blocking.candidates(blocking.prepare(s1, how), blocking.prepare(pool, how), how)
+    mine, ready = blocking.prepared(s1, how), blocking.prepared(pool, how)
+    pairs = stage.materialize(blocking.candidates(mine, ready, how), "candidates")
     out = Result(pairs, decision.candidate_lists(pairs, spine))
     if model is not None:
-        rows = features.pair_features(pairs, s1, pool, how.compose)
-        out.scored = learning.predict(learning.load_model(spark, model), rows)
+        rows = features.pair_features(pairs, mine, ready, how.compose)
+        out.scored = stage.materialize(learning.predict(learning.load_model(spark, model), rows), "scored")
         out.matches = decision.apply_threshold(out.scored, threshold, spine)
     if output:
         tables.write_tsv(out.candidate_lists, f"{output}/candidate_pairs.tsv", files=1)
@@ -72,7 +74,8 @@ def run(spark: SparkSession, paths: Paths, output: str | None = None, model: Pip
 
 def training_shard(spark: SparkSession, paths: Paths, shard: int, output: str | None = None, how: blocking.Blocking = blocking.Blocking(), limit: int | None = None, form: str = "parquet", resume: bool = True) -> dict:
     """Labelled feature rows of a shard of the reference table, checked, written under shard=<n> and read back; returns
-    their statistics. A shard that is there already is read instead (`resume`): its rows are what a re-run would give."""
+    their statistics. A shard that is there already is read instead (`resume`), with the columns and types that a re-run
+    would give."""
     s1 = tables.read_shard(spark, paths.of("source1"), shard, limit)
     _, pool = read_sources(spark, paths)
     truth = tables.read_truth(spark, paths.of("ground_truth"), only=s1.select("entity_id"))
@@ -83,14 +86,14 @@ def training_shard(spark: SparkSession, paths: Paths, shard: int, output: str |
         p = jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
         done = p.getFileSystem(conf).exists(p)
     if not done:
-        pairs = blocking.candidates(blocking.prepare(s1, how), blocking.prepare(pool, how), how)
-        rows = features.training_rows(pairs, s1, pool, truth)
+        mine, ready = blocking.prepared(s1, how), blocking.prepared(pool, how)
+        rows = features.training_rows(blocking.candidates(mine, ready, how), mine, ready, truth)
         if target:
             writer = rows.write.mode("overwrite")
             writer.parquet(target) if form == "parquet" else writer.option("sep", "\t").option("header", True).csv(target)
     if target:
-        reader = spark.read.schema(rows.schema) if not done else spark.read
-        rows = reader.parquet(target) if form == "parquet" else reader.option("sep", "\t").option("header", True).option("inferSchema", done).csv(target)
+        reader = spark.read.schema(features.TRAINING_ROW)
+        rows = reader.parquet(target) if form == "parquet" else reader.option("sep", "\t").option("header", True).csv(target)
     return features.require_valid(features.shard_checks(rows, s1, truth, shard))
 
 
@@ -99,13 +102,12 @@ def train(spark: SparkSession, paths: Paths, model_path: str | None = None, how:
     match count in it."""
     s1, pool = read_sources(spark, paths)
     truth = tables.read_truth(spark, paths.of("ground_truth"))
-    pairs = blocking.candidates(blocking.prepare(s1, how), blocking.prepare(pool, how), how)
-    rows = features.training_rows(pairs, s1, pool, truth).persist()
+    mine, ready = blocking.prepared(s1, how), blocking.prepared(pool, how)
+    rows = stage.materialize(features.training_rows(blocking.candidates(mine, ready, how), mine, ready, truth), "training-rows")
     ids = features.split_ids(tables.spine(s1), ratio, boosting.seed)
     held = ids.filter("validation").select("s1_entity_id")
     training, validation = rows.join(held, "s1_entity_id", "left_anti"), rows.join(held, "s1_entity_id", "left_semi")
     model = learning.train(training, validation, boosting, model_path)
     scored = learning.predict(model, validation.drop("label"))
     threshold, score = decision.best_threshold(scored, tables.truth_pairs(truth).join(held, "s1_entity_id", "left_semi"), held)
-    rows.unpersist()
     return model, threshold, score

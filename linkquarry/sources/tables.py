@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from . import stage
 
 RECORD = T.StructType([T.StructField(c, T.StringType()) for c in ("entity_id", "business_name", "business_address", "country")])
 TRUTH = T.StructType([T.StructField(c, T.StringType()) for c in ("source1_entity_id", "matched_entity_ids")])
@@ -95,8 +96,11 @@ def sampled(records: DataFrame, truth: DataFrame, pool: DataFrame, k: int, distr
 
 
 def write_tsv(df: DataFrame, path: str, files: int | None = None) -> None:
-    """With a header; `files` bounds the number of files (1 for a submission that must be one)."""
-    (df if files is None else df.coalesce(files)).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
+    """With a header; `files` bounds the number of files (1 for a submission that must be one). The table is made in full
+    parallel first, so that only the copying runs in that many tasks."""
+    if files is not None:
+        df = stage.materialize(df, "result").coalesce(files)
+    df.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
 
 
 def write_shards(df: DataFrame, path: str, form: str = "parquet") -> int:
