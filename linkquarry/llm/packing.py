@@ -3,9 +3,10 @@
 Each document's ids are cut every `capacity` ids; what remains at its end is an item of 1 to capacity ids. How many items
 there are of each length (a histogram of at most `capacity` numbers, all that the driver sees) is the demand of a cutting-
 stock problem: a linear program over patterns of lengths, whose columns are priced by a knapsack dynamic program. The
-patterns that fill a sequence exactly are rounded to whole numbers and given to the items of each length by rank. The
-few items that are left are laid end to end and cut where a sequence is full, so at most one sequence is not; its ids
-go to sequences whose lengths are powers of two, which need no padding.
+patterns are rounded to whole numbers and given to the items of each length by rank: first those that fill a sequence
+exactly, then the fullest of the others. Of what is left a stream is laid end to end: it fills the gaps of those others,
+cut where a gap is full, then sequences of its own, so at most one sequence isn't full; its ids go to sequences whose
+lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ from . import common, tokens
 
 CAPACITY = 1024
 END_ID = 0
-#: Cut pieces up to this number are broadcast to the table of ids, beyond it both are shuffled.
-BROADCAST_CUTS = 50_000
 CHUNKS = "pid int, seq long, doc_id long, start long, length int, doc_tokens long, nth long, crc long, ids binary"
 
 
@@ -58,12 +57,14 @@ def column_generation(demand: np.ndarray, capacity: int, most_rounds: int = 120,
         s = capacity - r
         if s in place and s != r and (demand[r], r) < (demand[s], s):
             patterns[place[r]] = {r: 1, s: 1}  # of each pair of complements the scarcer one's column
-    basis = np.zeros((len(lengths), len(lengths)))
-    for j, p in enumerate(patterns):
-        for r, k in p.items():
-            basis[place[r], j] = k
-    inverse = np.linalg.inv(basis)
-    use = np.maximum(inverse @ need, 0)
+    # a pair's column stands in the place of its scarcer length, whose complement has a column of its own: the inverse is
+    # known. Products are sums of few columns, without the threads of a linear algebra library in the driver
+    inverse = np.diag([1 / p[int(r)] for r, p in zip(lengths, patterns, strict=True)])
+    for r, p in zip(lengths.tolist(), patterns, strict=True):
+        if len(p) == 2:
+            s = capacity - r
+            inverse[place[s], place[r]] = -1 / patterns[place[s]][s]
+    use = np.maximum((inverse * need).sum(axis=1), 0)
     for _ in range(most_rounds):
         dual = inverse.sum(axis=0)
         value = np.full(capacity + 1, -1.0)
@@ -90,7 +91,7 @@ def column_generation(demand: np.ndarray, capacity: int, most_rounds: int = 120,
             worth = float(dual[at] @ times)
             if worth <= 1 + 1e-9:
                 continue
-            step = inverse[:, at] @ times
+            step = (inverse[:, at] * times).sum(axis=1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 ratio = np.where(step > 1e-9, use / step, np.inf)
             out = int(ratio.argmin())
@@ -111,26 +112,38 @@ def column_generation(demand: np.ndarray, capacity: int, most_rounds: int = 120,
 
 
 def rounded(solution: list[tuple[dict[int, int], float]], demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Exactly filled patterns in whole numbers: rounded down, then up in order of their fractions while items last."""
+    """Patterns in whole numbers. Exactly filled ones are rounded down, then up in order of their fractions while items
+    last; then the others, the fullest first, as long as the items that are left can fill their gaps."""
     left = demand.astype(np.int64).copy()
-    exact = [(p, x) for p, x in solution if sum(r * k for r, k in p.items()) == capacity]
-    counts = [int(x) for _, x in exact]
-    for (p, _), n in zip(exact, counts, strict=True):
-        for r, k in p.items():
+    fill = [sum(r * k for r, k in p.items()) for p, _ in solution]
+    order = sorted(range(len(solution)), key=lambda i: (-fill[i], i))
+    counts = [0] * len(solution)
+
+    def take(i: int, n: int) -> None:
+        counts[i] += n
+        for r, k in solution[i][0].items():
             left[r] -= k * n
-    for i in sorted(range(len(exact)), key=lambda i: counts[i] - exact[i][1]):
-        if all(left[r] >= k for r, k in exact[i][0].items()):
-            counts[i] += 1
-            for r, k in exact[i][0].items():
-                left[r] -= k
+
+    exact = [i for i in order if fill[i] == capacity]
+    for i in exact:
+        take(i, int(solution[i][1]))
+    for i in sorted(exact, key=lambda i: counts[i] - solution[i][1]):
+        if all(left[r] >= k for r, k in solution[i][0].items()):
+            take(i, 1)
+    rest = int(left[:capacity] @ np.arange(capacity))  # ids that patterns with gaps and the stream share
+    for i in order[len(exact) :]:
+        n = min(int(np.ceil(solution[i][1])), rest // capacity, *(int(left[r]) // k for r, k in solution[i][0].items()))
+        take(i, n)
+        rest -= n * capacity
     assert (left >= 0).all()
-    return [(p, n) for (p, _), n in zip(exact, counts, strict=True) if n]
+    return [(p, n) for (p, _), n in zip(solution, counts, strict=True) if n]
 
 
 @dataclass
 class Layout:
     """Where the item of a length with a rank goes. Intervals of ranks by length: the rows length, first rank, items of
-    that length a sequence, first sequence, place in the sequence. What lies beyond the last interval is left over."""
+    that length a sequence, first sequence, place in the sequence. What lies beyond the last interval is the stream; the
+    rows of gaps: first id of the stream, size of a gap, first sequence, place in the sequence."""
 
     capacity: int
     length: np.ndarray
@@ -138,10 +151,15 @@ class Layout:
     times: np.ndarray
     sequence: np.ndarray
     offset: np.ndarray
+    gap_at: np.ndarray
+    gap_size: np.ndarray
+    gap_sequence: np.ndarray
+    gap_offset: np.ndarray
     given: np.ndarray  # by length: the ranks that patterns take
     left_base: np.ndarray  # by length: ids of left-over items of smaller lengths
     left_sequence: int
-    left_ids: int
+    left_ids: int  # of the stream beyond the gaps
+    gap_ids: int
 
     @property
     def sequences(self) -> int:
@@ -154,18 +172,22 @@ def layout(demand: np.ndarray, capacity: int) -> Layout:
     plan = [({capacity: 1}, int(demand[capacity]))] if demand[capacity] else []
     plan += rounded(column_generation(demand, capacity), demand, capacity)
     given = np.zeros(capacity + 1, np.int64)
-    rows, sequence = [], 0
+    rows, gaps, sequence, gap_ids = [], [], 0, 0
     for pattern, n in plan:
         at = 0
         for r, k in sorted(pattern.items(), reverse=True):
             rows.append((r, given[r], k, sequence, at))
             given[r] += k * n
             at += r * k
+        if at < capacity:
+            gaps.append((gap_ids, capacity - at, sequence, at))
+            gap_ids += n * (capacity - at)
         sequence += n
     rows.sort()
-    table = np.array(rows, np.int64).reshape(-1, 5)
+    table, holes = np.array(rows, np.int64).reshape(-1, 5), np.array(gaps, np.int64).reshape(-1, 4)
     left = (demand - given) * np.arange(capacity + 1)
-    return Layout(capacity, *table.T.copy(), given, np.cumsum(left) - left, sequence, int(left.sum()))
+    assert left.sum() >= gap_ids
+    return Layout(capacity, *table.T.copy(), *holes.T.copy(), given, np.cumsum(left) - left, sequence, int(left.sum()) - gap_ids, gap_ids)
 
 
 def _left_over(plan: Layout, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -177,12 +199,24 @@ def _left_over(plan: Layout, at: np.ndarray, length: np.ndarray) -> tuple[np.nda
     item, begin, end = np.arange(len(at)), at.copy(), at + length
     out = []
     while len(item):
-        in_tail = begin >= tail
-        k = np.searchsorted(edges, begin, "right") - 1
-        low = np.where(in_tail, edges[np.clip(k, 0, len(edges) - 1)], begin // c * c)
-        high = np.where(in_tail, edges[np.clip(k + 1, 0, len(edges) - 1)], low + c)
+        # in a gap
+        in_gap = begin < plan.gap_ids
+        low, high, sequence, base = (np.zeros(len(item), np.int64) for _ in range(4))
+        g = np.searchsorted(plan.gap_at, begin[in_gap], "right") - 1
+        nth = (begin[in_gap] - plan.gap_at[g]) // plan.gap_size[g] if len(g) else g
+        low[in_gap] = plan.gap_at[g] + nth * plan.gap_size[g]
+        high[in_gap] = low[in_gap] + plan.gap_size[g]
+        sequence[in_gap], base[in_gap] = plan.gap_sequence[g] + nth, plan.gap_offset[g]
+        # beyond the gaps: whole sequences, then the tail's
+        x = begin[~in_gap] - plan.gap_ids
+        in_tail = x >= tail
+        k = np.searchsorted(edges, x, "right") - 1
+        from_ = np.where(in_tail, edges[np.clip(k, 0, len(edges) - 1)], x // c * c)
+        low[~in_gap] = from_ + plan.gap_ids
+        high[~in_gap] = np.where(in_tail, edges[np.clip(k + 1, 0, len(edges) - 1)], from_ + c) + plan.gap_ids
+        sequence[~in_gap] = plan.left_sequence + np.where(in_tail, tail // c + k, x // c)
         stop = np.minimum(end, high)
-        out.append((item, begin - at[item], stop - begin, plan.left_sequence + np.where(in_tail, tail // c + k, begin // c), begin - low))
+        out.append((item, begin - at[item], stop - begin, sequence, base + begin - low))
         more = stop < end
         item, begin, end = item[more], stop[more], end[more]
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.empty(0, np.int64) for _ in range(5))
@@ -262,8 +296,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, ca
         whole, cut = None, pieces
     else:
         whole, cut = pieces.filter("whole").withColumn("ids_crc32", F.col("crc")), pieces.filter("NOT whole")
-    few = cut.count() <= BROADCAST_CUTS
-    cut = ids.join(F.broadcast(cut) if few else cut, key)
+    cut = ids.join(cut, key)  # Spark broadcasts the cut pieces if they are few
     cut = cut.withColumn("ids", F.expr("substring(all_ids, CAST(4 * (start - chunk) + 1 AS INT), CAST(4 * length AS INT))")).withColumn("ids_crc32", F.crc32("ids"))
     return (cut.select(*out) if whole is None else whole.select(*out).unionByName(cut.select(*out)))
 

@@ -10,7 +10,7 @@ left and right symbol and expansion length; the symbols.
 
 Each replacement round takes many pairs at once. They're chosen in order of frequency such that no symbol is the left
 one of a chosen pair and the right one of another, so that chosen occurrences never overlap; a pair of equal symbols is
-replaced from the left in each run. Rounds end when no pair is frequent enough or a round saves too little.
+replaced from the left in each run. Rounds end when no pair pays for a rule, or when symbols of 16 bits run out.
 """
 
 from __future__ import annotations
@@ -188,13 +188,20 @@ class Block:
         return self.expand(self.symbols[self.starts[k] : end])
 
     def ids(self, k: int, first: int, count: int) -> np.ndarray:
-        """count ids of document k from place `first`: only the symbols that hold them are expanded."""
+        """count ids of document k from place `first`: only the symbols that hold them are expanded, by the rules that they need."""
         end = self.starts[k + 1] if k + 1 < len(self.starts) else len(self.symbols)
         symbols = self.symbols[self.starts[k] : end]
         reach = np.cumsum(self.lengths(symbols))
         a, b = np.searchsorted(reach, first, "right"), np.searchsorted(reach, first + count, "left") + 1
         begin = int(reach[a - 1]) if a else 0
-        return self.expand(symbols[a:b])[first - begin : first - begin + count]
+        out, todo = [], symbols[a:b].tolist()[::-1]
+        while todo and len(out) < first - begin + count:
+            x = todo.pop() - self.first_rule
+            if x < 0:
+                out.append(x + self.first_rule)
+            else:
+                todo += (int(self.right[x]), int(self.left[x]))
+        return np.array(out[first - begin : first - begin + count], np.uint32)
 
 
 def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:

@@ -34,15 +34,15 @@ def _visible(c: str) -> bool:
 
 
 class PieceEncoder:
-    """texts -> ids. It knows at most about `most_entries` pieces and `most_ids` ids of theirs, then starts anew. Special
-    tokens' strings in a text are ordinary text."""
+    """texts -> ids. It knows at most about `most_entries` pieces and `most_ids` ids of theirs, then starts anew. A text with
+    a special token's string goes through the library whole, which gives that string the token's id."""
 
     def __init__(self, path: str, most_entries: int = 800_000, most_ids: int = 8_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most_entries, self.most_ids = most_entries, most_ids
         #: by id: whether the token's first byte is a space or a line feed
         self.leads = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
@@ -96,8 +96,10 @@ class PieceEncoder:
         """The ids of all texts, one after the other, and where each text's end."""
         if self.n_pieces > self.most_entries or self.n_ids > self.most_ids:
             self._forget()
-        heads, split = [], []
-        for text in texts:
+        heads, split, whole = [], [], {}
+        for k, text in enumerate(texts):
+            if any(x in text for x in self.special):
+                whole[k], text = text, ""
             pieces = text.replace("\n", " \n").split(" ")
             heads.append(pieces.pop(0))
             split.append(pieces)
@@ -111,6 +113,7 @@ class PieceEncoder:
             got[k] = np.fromiter(map(find, pieces), np.int64, len(pieces))
         if careful:
             self._learn()
+        heads = [whole.get(k, h) for k, h in enumerate(heads)]
         first = [self._whole(h) if h else np.empty(0, np.uint32) for h in heads]
         out, ends, total = [], [], 0
         for head, c in zip(first, got, strict=True):
