@@ -1,52 +1,25 @@
-"""Shared pieces of the training-data operators: durable intermediate tables and batch slicing."""
+"""Shared pieces of the training-data operators: durable intermediate tables (of the library) and batch slicing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stage import drop, drop_path, materialize, new_path, shared_dir  # noqa: F401
+
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The six characters that separate words: space and \\x09-\\x0D.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
 
-#: By application: the folder of a session that names none.
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The cluster names it in spark.checkpoint.dir; only where that is
-    unset (tests, a laptop) does the session get one of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='linkquarry-')}"
-        found = _own_dirs[app]
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/linkquarry/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes a table to the shared folder and reads it again: lineage ends there, a lost executor costs nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Removes an intermediate table, on whatever file system it lies."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def dealt(blocks: DataFrame, parts: int) -> DataFrame:
+    """Rows with a part `p` below `parts`, dealt so that no task has many parts at once where there are more of them than
+    shuffle partitions; else Spark deals and coalesces them."""
+    return blocks.repartition(parts, "p") if parts > int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")) else blocks
 
 
 def ascii_lower(c: Column | str) -> Column:

@@ -26,17 +26,19 @@ from . import common, families, winnow
 from .components import components
 
 NULL_ID = -(1 << 63)
-#: Candidate lines up to this number go to the scan that fetches their texts as a sorted array of hashes (8 MB); beyond it
-#: their texts are joined.
-BROADCAST_LINES = 1_000_000
+#: Lines of the corpus for each part that keys are dealt to: what one task holds of them doesn't grow with the corpus.
+PART_LINES = 250_000
+#: Bits of the filter in front of the join that fetches candidate lines' texts (2 MB, whatever the corpus).
+FILTER_BITS = 24
 BLOCKS = "p int, keys binary, lines binary, sketches binary"
 PAIRS = "crowd long, a long, b long"
 
 
 @dataclass(frozen=True)
 class Lines:
-    """edits: the threshold. shortest: two lines that are both shorter (in code points) are the same only if equal; blank
-    lines stay. group: up to so many different lines of a key are paired directly."""
+    """edits: the threshold. shortest: from so many code points (of the longer line) it holds in full, below in proportion:
+    with the defaults a line of 12 to 23 has one edit, a shorter one is the same only if equal. Blank lines stay. group: up
+    to so many different lines of a key are paired directly."""
 
     edits: int = 2
     shortest: int = 24
@@ -45,6 +47,15 @@ class Lines:
     block_lines: int = 512
     block_chars: int = 2_000_000
 
+    def allowed(self, length: int) -> int:
+        """The edits that two lines may differ by, the longer of which has this length."""
+        return min(self.edits, self.edits * length // max(self.shortest, 1))
+
+    @property
+    def least(self) -> int:
+        """The smallest length of the longer line that allows an edit."""
+        return -(-self.shortest // max(self.edits, 1))
+
 
 def split_lines(text: str) -> list[str]:
     return text.split("\n")
@@ -194,7 +205,7 @@ def key_blocks(docs: DataFrame, how: Lines, parts: int) -> DataFrame:
             fresh: dict[int, str] = {}
             for text in common.texts_of(batch):
                 for x in split_lines(text):
-                    if len(x) >= how.shortest - how.edits and x and not x.isspace() and (h := line_hash(x)) not in seen:
+                    if len(x) >= how.least - how.edits and x and not x.isspace() and (h := line_hash(x)) not in seen:
                         fresh[h] = x
             if len(seen) > 200_000:
                 seen.clear()
@@ -268,13 +279,24 @@ def candidate_pairs(blocks: DataFrame, how: Lines) -> DataFrame:
     return blocks.groupBy("p").applyInArrow(run, PAIRS)
 
 
+def line_filter(lines: DataFrame) -> np.ndarray:
+    """A table of bits in which those of the lines are set, made by one aggregation; its size is fixed."""
+    bit = F.col("line").bitwiseAND((1 << FILTER_BITS) - 1)
+    words = lines.select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int")).alias("bits"))
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in words.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():  # 2^18 rows at most
+        table[r.word] = r.bits
+    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
+
+
 def line_texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """line, text of the lines asked for (line: their hashes), once each."""
-    few = [r.line for r in lines.limit(BROADCAST_LINES + 1).collect()]
-    wanted = np.sort(np.array(few, np.int64)) if len(few) <= BROADCAST_LINES else None
+    """line, text of the lines asked for (line: their hashes), once each. A filter of fixed size in the scan leaves out most
+    other lines, a join the rest."""
+    wanted = np.packbits(line_filter(lines))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        maybe = np.unpackbits(wanted).astype(bool)
         for batch in common.text_slices(batches):
             found: dict[int, str] = {}
             for text in common.texts_of(batch):
@@ -282,29 +304,27 @@ def line_texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
                     if x and not x.isspace():
                         found[line_hash(x)] = x
             h = np.fromiter(found, np.int64, len(found))
-            if wanted is not None:
-                h = h[wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h] if len(wanted) else h[:0]
+            h = h[maybe[h & ((1 << FILTER_BITS) - 1)]]
             new = [x for x in h.tolist() if x not in seen]
             seen = seen | set(new) if len(seen) < 200_000 else set(new)
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([found[x] for x in new], pa.string())], names=["line", "text"])
 
-    out = docs.select("text").mapInArrow(run, "line long, text string")
-    return (out if wanted is not None else out.join(lines, "line", "left_semi")).dropDuplicates(["line"])
+    return docs.select("text").mapInArrow(run, "line long, text string").join(lines, "line", "left_semi").dropDuplicates(["line"])
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, how: Lines) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [max(len(x), len(y)) >= how.shortest and within(x, y, how.edits) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            keep = [within(x, y, how.allowed(max(len(x), len(y)))) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def alike(lines: list[str], matter: np.ndarray, most: int, shortest: int = 0) -> np.ndarray:
-    """Of the pairs that matter those within `most` edits, one of `shortest` code points or more. An edit changes the numbers of characters (by their hash) by two
-    at most, which leaves few pairs to compare."""
+def alike(lines: list[str], matter: np.ndarray, how: Lines) -> np.ndarray:
+    """Of the pairs that matter those within the edits that their length allows. An edit changes the numbers of characters
+    (by their hash) by two at most, which leaves few pairs to compare."""
     size = np.array([len(x) for x in lines])
     row = np.repeat(np.arange(len(lines)), size)
     kind = (winnow.code_points("".join(lines)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)).astype(np.int64)
@@ -312,16 +332,17 @@ def alike(lines: list[str], matter: np.ndarray, most: int, shortest: int = 0) ->
     out = np.zeros_like(matter)
     for i in np.flatnonzero(matter.any(axis=1)):
         near = np.flatnonzero(matter[i])
-        near = near[np.maximum(size[near], size[i]) >= shortest]
-        near = near[np.abs(counts[near] - counts[i]).sum(axis=1) <= 2 * most]
-        out[i, near] = [within(lines[i], lines[j], most) for j in near]
+        near = near[np.abs(counts[near] - counts[i]).sum(axis=1) <= 2 * how.edits]
+        out[i, near] = [within(lines[i], lines[j], how.allowed(max(len(lines[i]), len(lines[j])))) for j in near]
     return out
 
 
-def near_lines(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
-    """line, root: the class of each line that is within the threshold of another (hashes of both)."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = common.materialize(candidate_pairs(key_blocks(docs, how, parts), how), "line-candidates")
+def near_lines(docs: DataFrame, how: Lines = Lines(), n_lines: int | None = None) -> DataFrame:
+    """line, root: the class of each line that is within the threshold of another (hashes of both). n_lines: how many lines
+    there are, if that is known."""
+    n_lines = line_table(docs).count() if n_lines is None else n_lines
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_lines // PART_LINES))
+    found = common.materialize(candidate_pairs(common.dealt(key_blocks(docs, how, parts), parts), how), "line-candidates")
     crowds = found.filter("crowd IS NOT NULL")
     pairs = common.materialize(found.select("a", "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
     texts = common.materialize(line_texts(docs, pairs.select(F.col("a").alias("line")).unionAll(pairs.select("b")).distinct()), "line-texts")
@@ -331,7 +352,7 @@ def near_lines(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
         inside = crowds.select(F.col("crowd").alias("band"), F.col("a").alias("node")).join(linked, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
         mixed = inside.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band")
         rest = inside.join(mixed, "band", "left_semi").join(texts.select(F.col("line").alias("node"), F.length("text").alias("n")), "node")
-        late = families.links_within(common.materialize(rest, "line-rest"), texts.select(F.col("line").alias("node"), F.col("text").alias("value")), lambda lines, matter: alike(lines, matter, how.edits, how.shortest), how.block_lines, how.block_chars)
+        late = families.links_within(common.materialize(rest, "line-rest"), texts.select(F.col("line").alias("node"), F.col("text").alias("value")), lambda lines, matter: alike(lines, matter, how), how.block_lines, how.block_chars)
         linked = components(links.unionAll(common.materialize(late, "line-links")))
     return linked.select(F.col("node").alias("line"), "root")
 
@@ -340,7 +361,7 @@ def removals(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
     """doc_id (null: the smallest long), doc_hash, the numbers of the lines that go, and the doc_ids where the first lines of
     their classes stand."""
     lines = common.materialize(line_table(docs), "lines")
-    classes = near_lines(docs, how)
+    classes = near_lines(docs, how, lines.count())
     place = F.struct("doc_id", "line_no", "doc_hash")
     firsts = lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     firsts = common.materialize(firsts.join(classes, "line", "left").filter("n > 1 OR root IS NOT NULL").select("line", "first", F.coalesce("root", "line").alias("root")), "line-firsts")
@@ -391,7 +412,8 @@ def deduplicated_lines(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
 
 
 def clean(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
-    """docs with all their rows and columns, text without the lines that go and n_chars (if it is there) to match."""
+    """docs with all their rows and columns, text without the lines that go and n_chars (if it is there) to match. Rows with
+    the same doc_id and text are one document and come back alike; null and empty texts come back as they are."""
     schema = docs.schema
 
     def make(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:

@@ -27,6 +27,8 @@ from .minhash import _TABLE, _words
 END = np.uint64(0x5851F42D4C957F2D)
 BATCH_BYTES = 8 << 20
 BUCKETS = 48
+#: Tokens of the corpus for each part that n-grams are dealt to: what one task holds of them doesn't grow with the corpus.
+PART_TOKENS = 4_000_000
 #: Of the training documents every so many is held out of the counts that weights are learned on.
 DELETED_ONE_IN = 8
 #: Mixture weights (bigram, word, uniform) of a corpus without held-out tokens.
@@ -45,17 +47,19 @@ def fold(doc_id: int | None) -> tuple[bool, bool]:
 
 
 def squeezed(codes: np.ndarray) -> bytes:
-    """Unsigned 32-bit codes byte by byte of all codes (the upper ones are few), compressed: they are shuffled so."""
+    """Unsigned numbers byte by byte of all of them (the upper ones are few), compressed: they are shuffled so."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(codes).view(np.uint8).reshape(-1, 4).T.tobytes())
+    width = codes.dtype.itemsize
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(codes).view(np.uint8).reshape(-1, width).T.tobytes())
 
 
 def unsqueezed(raw: bytes) -> np.ndarray:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1)
+    width = raw[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(-1)
 
 
 def batches_of(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -137,6 +141,12 @@ def ask(batches: DataFrame, parts: int) -> DataFrame:
     return batches.mapInArrow(run, ASK)
 
 
+def _totals(ranked: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of 64 bits of counts in order of their n-grams, which begin at `first`; stored in 32 bits where all fit."""
+    out = np.add.reduceat(ranked, first, dtype=np.uint64) if len(first) else np.empty(0, np.uint64)
+    return out if len(out) and int(out.max()) >> 32 else out.astype(np.uint32)
+
+
 def _summed(table: pa.Table, kind: str) -> tuple[list[bytes], list[bytes], int, int, int]:
     """Sums of the counts over all batches, in each batch's order; the sum, the distinct n-grams with a count, the deleted
     part's sum."""
@@ -148,10 +158,9 @@ def _summed(table: pa.Table, kind: str) -> tuple[list[bytes], list[bytes], int,
     new = np.concatenate((np.ones(min(1, len(ranked)), bool), ranked[1:] != ranked[:-1]))
     at = np.empty(len(hashes), np.int64)
     at[order] = np.cumsum(new) - 1
-    k = int(new.sum())
-    total, gone = (np.bincount(at, c, k).astype(np.uint32) for c in (n, dev))
+    total, gone = (_totals(c[order], np.flatnonzero(new)) for c in (n, dev))
     ends = np.cumsum([len(x) // 8 for x in parts])[:-1]
-    return [squeezed(x) for x in np.split(total[at], ends)], [squeezed(x) for x in np.split(gone[at], ends)], int(total.sum(dtype=np.int64)), int((total > 0).sum()), int(gone.sum(dtype=np.int64))
+    return [squeezed(x) for x in np.split(total[at], ends)], [squeezed(x) for x in np.split(gone[at], ends)], int(total.sum(dtype=np.uint64)), int((total > 0).sum()), int(gone.sum(dtype=np.uint64))
 
 
 def tell(asked: DataFrame) -> DataFrame:
@@ -184,8 +193,8 @@ def _shares(context: np.ndarray, gram: np.ndarray, word: np.ndarray, total: int)
 
 def learn_weights(cells: np.ndarray, uniform: float, rounds: int = 100) -> np.ndarray:
     """cells: rows of bucket, number of tokens, mean bigram and mean word estimate -> weights by bucket (3 columns).
-    Buckets without tokens have the weights of all buckets together, for which no estimate of the bigram counts if it is
-    absent throughout."""
+    Buckets without tokens have the weights of all buckets together; in that of unseen contexts, which have no bigrams, the
+    other two share what would be the bigram's."""
 
     def em(part: np.ndarray) -> np.ndarray:
         w = np.array(DEFAULT_WEIGHTS)
@@ -200,7 +209,10 @@ def learn_weights(cells: np.ndarray, uniform: float, rounds: int = 100) -> np.nd
         return w
 
     every = em(cells)
-    return np.array([em(cells[cells[:, 0] == b]) if (cells[:, 0] == b).any() else every for b in range(BUCKETS)])
+    out = np.array([em(cells[cells[:, 0] == b]) if (cells[:, 0] == b).any() else every for b in range(BUCKETS)])
+    out[0, 0] = 0
+    out[0] /= out[0].sum()
+    return out
 
 
 def language_model_scores(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -211,9 +223,10 @@ def language_model_scores(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> Da
     null doc_id is a training document. Other columns are ignored. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     batches = common.materialize(batches_of(docs, batch_bytes), "batches")
-    told = common.materialize(tell(ask(batches, parts)), "counts")
+    size = batches.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_TOKENS))
+    told = common.materialize(tell(common.dealt(ask(batches, parts), parts)), "counts")
     n = told.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("dev_tokens"), F.lit(0)).alias("dev")).first()
     total, words, kept = n.tokens, n.words, n.tokens - n.dev
     uniform = 1 / (words + 1)
