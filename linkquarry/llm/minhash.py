@@ -3,8 +3,8 @@
 Under each permutation both the smallest and the largest hash of a document's shingles are kept, so a signature of k
 values takes k / 2 hash evaluations a shingle. Signatures are banded; documents that agree in a band are candidates.
 Equal sets are one node, however many documents have them. Candidates are compared in rounds: each member of a bucket
-with the bucket's smallest and largest node. Buckets that then still span several components are compared in blocks within tasks, from
-which only confirmed links come. No bucket is cut short, and no pairs of a bucket are made as rows.
+with the bucket's smallest and largest node, a row for each such pair. Buckets that then still span several components are
+compared in blocks within tasks, from which only confirmed links come. No bucket is cut short.
 
 With 160 permutations and 64 bands of 5 values a pair at the threshold of 0.8 is missed with a probability of 1e-11 (1e-5
 if minimum and maximum were fully dependent).
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common, families
 from .components import components
@@ -112,13 +113,10 @@ def signatures(docs: DataFrame, how: NearDuplicates) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = permutation_keys(how.permutations, how.seed)
         for batch in common.text_slices(batches):
-            import xxhash
-
             rows = []
             for text in common.texts_of(batch):
                 sh = shingles(text, how.words)
-                a, b = divmod(xxhash.xxh3_128_intdigest(sh.tobytes()), 1 << 64)
-                rows.append((len(sh), a - (1 << 63), b - (1 << 63), band_keys(min_max(sh, keys), how.band_rows).view(np.int64) if len(sh) else np.empty(0, np.int64)))
+                rows.append((len(sh), *set_digest(sh), band_keys(min_max(sh, keys), how.band_rows).view(np.int64) if len(sh) else np.empty(0, np.int64)))
             n, a, b, bands = zip(*rows, strict=True)
             ends = np.concatenate(([0], np.cumsum([len(x) for x in bands]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands)))], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
@@ -126,14 +124,25 @@ def signatures(docs: DataFrame, how: NearDuplicates) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
+def set_digest(sh: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set of shingles."""
+    import xxhash
+
+    a, b = divmod(xxhash.xxh3_128_intdigest(sh.tobytes()), 1 << 64)
+    return a - (1 << 63), b - (1 << 63)
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, set_a, set_b and the set itself."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.text_slices(batches):
-            out = [shingles(t, words).view(np.int64) for t in common.texts_of(batch)]
+            out = [shingles(t, words) for t in common.texts_of(batch)]
             ends = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))], names=["node", "set"])
+            a, b = zip(*map(set_digest, out), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out).view(np.int64)))], names=["doc_id", "set_a", "set_b", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(sets, "node long, set array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, set_a long, set_b long, set array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -178,20 +187,23 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) ->
     """docs (doc_id, text) -> doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept (the row is
     its component's smallest).
 
-    Null or empty text: no shingle, a component of its own. Rows that share a doc_id come back as often as they are there
-    and share a component. A null doc_id: a null component, and kept, as there is nothing to link it by. Other columns are
-    ignored. An empty table gives an empty one.
+    Null or empty text: no shingle, a component of its own. Rows that share a doc_id come back as often as they are there;
+    each of their texts is compared, and those with shingles share a component, whatever they hold. A null doc_id: a null
+    component, and kept, as there is nothing to link it by. Other columns are ignored. An empty table gives an empty one.
     """
     signed = common.materialize(signatures(docs, how), "signatures")
-    real = signed.filter("doc_id IS NOT NULL")
-    full = real.filter("n_shingles > 0")
-    groups = common.materialize(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")), "sets")
-    # a doc_id with several rows may lie in several sets: it links them
-    member = full.select("doc_id", "set_a", "set_b").join(groups, ["set_a", "set_b"]).select("doc_id", "node")
-    equal = member.filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-
-    rows = full.join(groups.select("set_a", "set_b", F.col("node").alias("doc_id")), ["doc_id", "set_a", "set_b"], "left_semi")
-    bands = rows.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    full = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
+    # a node stands for a set, however many documents have it; first: the smallest of them
+    groups = common.materialize(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "sets")
+    # a doc_id with several texts links their sets
+    digest = F.struct("set_a", "set_b")
+    several = full.groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).filter("low <> high").select("doc_id")
+    member = full.select("doc_id", "set_a", "set_b").join(several, "doc_id").join(groups, ["set_a", "set_b"]).select("doc_id", "node")
+    equal = member.join(member.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
+
+    chosen = groups.select("set_a", "set_b", F.col("first").alias("doc_id"), "node")
+    rows = full.join(chosen, ["doc_id", "set_a", "set_b"])
+    bands = rows.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     mark = F.struct("node", "n")
     buckets = bands.groupBy("band").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low.node <> high.node")
     crowded = common.materialize(bands.join(buckets, "band"), "candidates")  # the members of buckets with several nodes
@@ -204,8 +216,9 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) ->
     pairs = stars[0].unionAll(stars[1]).filter("a <> b").filter(fits("x", "y")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = common.materialize(pairs, "pairs")
 
-    nodes = crowded.select(F.col("node").alias("doc_id")).distinct()
-    sets = common.materialize(shingle_sets(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi"), how.words).dropDuplicates(["node"]), "shingles")
+    wanted = chosen.join(crowded.select("node").distinct(), "node", "left_semi")
+    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = common.materialize(shingle_sets(texts, how.words).join(wanted, ["doc_id", "set_a", "set_b"]).select("node", "set").dropDuplicates(["node"]), "shingles")
     links = common.materialize(_confirmed(pairs, sets, how.percent), "confirmed")
     linked = components(links)
 
@@ -221,12 +234,24 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) ->
     late = families.links_within(rest, sets.withColumnRenamed("set", "value"), alike, how.block_nodes, how.block_shingles)
     # components so far are links of a node with its root
     every = linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(common.materialize(late, "confirmed")).unionAll(equal)
-    roots = components(every)
-    out = signed.select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.coalesce("root", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    rooted = groups.join(components(every), "node", "left").select("set_a", "set_b", "first", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = common.materialize(rooted.join(named, "root").select("set_a", "set_b", "component_id"), "components")
+    out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, how: NearDuplicates = NearDuplicates()) -> DataFrame:
-    """The rows of `docs` that stay: one doc_id of each component. Rows without a doc_id stay."""
-    gone = near_duplicates(docs, how).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of `docs` that stay: those with one doc_id of each component, and of several rows with that doc_id the
+    first by text (of equal rows one). Rows without a doc_id stay."""
+    found = common.materialize(near_duplicates(docs, how), "near-duplicates")
+    # a doc_id goes with its component: its empty rows, components of their own, go with it
+    gone = found.filter("NOT kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return left
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")]))
+    once = left.join(repeated, "doc_id", "left_semi").withColumn("_lq_nth", first).filter("_lq_nth = 1").select(docs.columns)
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
