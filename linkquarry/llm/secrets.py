@@ -2,8 +2,9 @@
 
 Strong finds (assignments, access keys, long hexadecimal runs) are reported wherever they stand. Weak ones are parts of a
 credential that prove nothing alone: a name that may be an account's, a token with mixed characters, an endpoint. They
-are reported where the other parts stand within the same scope, which an interval join finds: parts are dealt to cells
-as wide as a scope, so a part meets those of its own and the two neighbouring cells alone.
+are reported where the other parts stand within the same scope: at most SCOPE code points between the end of the one and
+the start of the other. An interval join finds them: a part is dealt to all cells, as wide as a scope, that it touches, and
+looked for in those that it touches when it is widened by a scope at both ends.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Code points between the starts of parts that belong together.
+#: Code points between parts that belong together, from the end of one to the start of the next.
 SCOPE = 200
 
 # The patterns of strong finds. The runs of 24 or 20 characters are the longest at their place, so asking for
@@ -69,7 +70,13 @@ def printed(found: Column) -> Column:
 def _parts(rows: DataFrame, found: Column) -> DataFrame:
     role = F.create_map(*[F.lit(x) for k, (_, _, role, _) in KINDS.items() for x in (k, role)])
     out = rows.select("key", F.explode(found).alias("span")).distinct()
-    return out.select("key", "span", F.col("span.start").alias("start"), role[F.col("span.kind")].alias("role"), F.floor(F.col("span.start") / F.lit(SCOPE)).alias("cell"))
+    return out.select("key", "span", F.col("span.start").alias("start"), F.col("span.end").alias("end"), role[F.col("span.kind")].alias("role"))
+
+
+def _cells(low: Column, high: Column) -> Column:
+    """The cells that an interval touches."""
+    cell = lambda at: F.floor(at / F.lit(SCOPE))
+    return F.explode(F.sequence(cell(low), cell(high)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -87,8 +94,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def beside(parts: DataFrame, role: str) -> DataFrame:
         """Those parts that have one of another role within a scope."""
-        near = every.filter(F.col("role") == role).select(F.col("key").alias("k"), F.col("start").alias("at"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("c"))
-        return parts.join(near, (F.col("key") == F.col("k")) & (F.col("cell") == F.col("c")) & (F.abs(F.col("start") - F.col("at")) <= SCOPE), "left_semi")
+        start, end = F.col("start"), F.col("end")
+        mine = parts.select("*", _cells(start, end).alias("cell"))
+        near = every.filter(F.col("role") == role).select(F.col("key").alias("k"), start.alias("from"), end.alias("to"), _cells(start - SCOPE, end + SCOPE).alias("c"))
+        meet = (F.col("key") == F.col("k")) & (F.col("cell") == F.col("c")) & (start - F.col("to") <= SCOPE) & (F.col("from") - end <= SCOPE)
+        return mine.join(near, meet, "left_semi").select(parts.columns).distinct()
 
     def only(role: str) -> DataFrame:
         return weak.filter(F.col("role") == role)

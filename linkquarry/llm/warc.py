@@ -1,9 +1,11 @@
 """WARC archives of pages, read back through an external merge of their capture indexes.
 
-Archives are gzip-compressed WARC/1.0 files that Spark's text writer makes (records end with the separator of lines), on
-any file system. Reading parses each archive on its own and sorts its captures by URL key, timestamp and page: a run.
-Runs are dealt by ranges of that key; in each range a loser tree merges the pieces of all runs, so that the parts, one
-after the other, are the capture histories in global order.
+Archives are WARC/1.0 files with a gzip member for each record, on any file system: Spark's text writer puts the members
+one behind the other, and what it writes between them as end of line is an empty member. The index says where a record's
+member stands, so it is read without what lies before it. Reading goes through an archive member by member and sorts its
+captures by URL key, timestamp and page: a run. Runs are dealt by ranges of that key, of a bounded number of captures
+each; in a range a loser tree merges the pieces of all runs, so that the parts, one after the other, are the capture
+histories in global order.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ from . import common
 #: Payloads of so many bytes are stored once.
 LEAST_REVISIT = 1000
 RECORDS_A_FILE = 2000
+#: Captures of a range that is merged at once (some 400 bytes each).
+RANGE_CAPTURES = 200_000
+#: A gzip member without content.
+EMPTY_MEMBER = bytes((0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0))
 RECORD_ID = re.compile(rb"<urn:page:(-?\d+|none)>")
 CAPTURE = "run string, urlkey string, ts string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_at long, record_bytes long"
 
@@ -43,9 +49,10 @@ def _header(name: str, value: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, records_a_file: int = RECORDS_A_FILE) -> None:
-    """Writes a record for each row of pages (page_id, url, html). Null html: an empty payload. Control characters and
-    spaces of a URL are percent-encoded; a null URL has no header. Capture times are seconds from a fixed day by page_id,
-    as pages have none."""
+    """Writes a record for each row of pages (page_id, url, html), whole ones alone: Spark's commit protocol makes each file
+    appear whole or not at all. Null html: an empty payload. Control characters and spaces of a URL are percent-encoded; a
+    null URL has no header. Capture times are seconds from a fixed day by page_id, as pages have none. Rows that share a
+    page_id are records with the same id."""
     url = F.col("url")
     for c in (" ", "\r", "\n", "\t", "\x00"):
         url = F.replace(url, F.lit(c), F.lit(f"%{ord(c):02X}"))
@@ -60,8 +67,44 @@ def write_archives(pages: DataFrame, path: str, records_a_file: int = RECORDS_A_
         F.when(F.col("record_type") == "revisit", F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\nWARC-Refers-To: "), urn(F.col("refers_to")), F.lit("\r\n"))).otherwise(""),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), _header("Content-Length", F.octet_length(body).cast("string")), F.lit("\r\n"),
     )
-    lines = revisits(pages).select(F.concat(head, body).alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
+    records_ = revisits(pages).select(F.concat(head, body, F.lit("\r\n\r\n")).cast("binary").alias("value"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for record in batch.column("value"):
+                yield pa.RecordBatch.from_arrays([pa.array([zlib_member(record.as_buffer())], pa.binary())], names=["value"])
+
+    # the bytes are a string to the writer, which copies them as they are
+    members_ = records_.mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value"))
+    members_.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", records_a_file).text(path)
+
+
+def zlib_member(raw: bytes) -> bytes:
+    """A gzip member, the same for the same bytes."""
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(raw) + z.flush()
+
+
+def members(raw: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Place, length and content of each gzip member that isn't empty, one at a time."""
+    at, view = 0, memoryview(raw)
+    while at < len(view):
+        begin, z, out = at, zlib.decompressobj(31), []
+        while not z.eof:
+            part = view[at : at + (1 << 16)]
+            if not len(part):
+                raise ValueError(f"the member at {begin} has no end")
+            out.append(z.decompress(part))
+            at += len(part) - len(z.unused_data)
+        if content := b"".join(out):
+            yield begin, at - begin, content
+
+
+def read_record(raw: bytes, at: int, size: int) -> tuple[dict[str, str], bytes]:
+    """Headers and content of the record that the index says stands at `at` of an archive, with `size` bytes: only those
+    are read."""
+    _, _, head, content = next(records(zlib.decompress(raw[at : at + size], 31)))
+    return head, bytes(content)
 
 
 def url_key(url: str) -> str:
@@ -98,20 +141,23 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The captures of all archives in a folder, each archive's sorted: a run. Payloads are checked against digests."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in CAPTURE.split(", ")]
+        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
             for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                rows = []
-                for at, size, head, content_ in records(zlib.decompress(content.as_buffer(), 47)):
-                    payload = bytes(content_).partition(b"\r\n\r\n")[2]
-                    digest, kind, n = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"], int(head["warc-payload-length"])
-                    if kind == "response" and (len(payload), hashlib.sha1(payload).hexdigest()) != (n, digest):
-                        raise ValueError(f"{name}: the payload at {at} isn't what its digest says")
-                    rows.append((url_key(head.get("warc-target-uri", "")), re.sub(r"\D", "", head["warc-date"]), _page(head["warc-record-id"]), n, digest, kind, _page(head["warc-refers-to"]) if kind == "revisit" else None, at, size))
+                rows, run = [], name.as_py().rsplit("/", 1)[-1]
+                for at, size, raw in members(content.as_buffer()):
+                    for _, _, head, content_ in records(raw):
+                        payload = bytes(content_).partition(b"\r\n\r\n")[2]
+                        digest, kind, n = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"], int(head["warc-payload-length"])
+                        if kind == "response" and (len(payload), hashlib.sha1(payload).hexdigest()) != (n, digest):
+                            raise ValueError(f"{run}: the payload at {at} isn't what its digest says")
+                        rows.append((url_key(head.get("warc-target-uri", "")), re.sub(r"\D", "", head["warc-date"]), _page(head["warc-record-id"]), n, digest, kind, _page(head["warc-refers-to"]) if kind == "revisit" else None, at, size))
                 rows.sort(key=capture_key)
-                run = name.as_py().rsplit("/", 1)[-1]
-                yield pa.RecordBatch.from_arrays([pa.array([run] * len(rows), pa.string()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True))] if rows else [pa.array([], t) for t in (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())], names=[c.split()[0] for c in CAPTURE.split(", ")])
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[run] * len(rows), *cols], types, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("path", "content").mapInArrow(parse, CAPTURE)
 
 
@@ -158,8 +204,9 @@ class LoserTree:
             self._play(i)
 
 
-def merge_runs(captures: DataFrame) -> DataFrame:
-    """Sorted runs -> all captures in global order of URL key, timestamp and page."""
+def merge_runs(captures: DataFrame, range_captures: int = RANGE_CAPTURES) -> DataFrame:
+    """Sorted runs -> all captures in global order of URL key, timestamp and page. There are as many ranges as it takes for
+    each to have about range_captures; captures with one key, time and page stay together."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in CAPTURE.split(", ")]
@@ -171,6 +218,8 @@ def merge_runs(captures: DataFrame) -> DataFrame:
                 runs.setdefault(run, []).append((*row, run))
         if schema is None:
             return
+        for rows in runs.values():
+            rows.sort(key=capture_key)  # a run's pieces come in order from each of its files' tasks, which this sees at once
         out: list[tuple] = []
         for row in LoserTree(list(runs.values())):
             out.append((row[-1], *row[:-1]))
@@ -180,8 +229,8 @@ def merge_runs(captures: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for c, n in zip(zip(*out, strict=True), names, strict=True)], names=names)
 
-    dealt = captures.repartitionByRange("urlkey", "ts", "page_id").sortWithinPartitions("run", "urlkey", "ts", "page_id")
-    return dealt.mapInArrow(merge, CAPTURE)
+    n = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // range_captures))
+    return captures.repartitionByRange(n, "urlkey", "ts", "page_id").mapInArrow(merge, CAPTURE)
 
 
 def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
