@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, lm, minhash, packing, repair, secrets, toxicity, warc, winnow
+from . import decontaminate, linededup, lm, minhash, packing, repair, secrets, sql, toxicity, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+# Columns of the above that SQL can say too: the operators' own results, beside their SQL.
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_winnowing(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_secrets(spark, sf_dir).drop("spans")
+
+
+def word_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_language_model(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 4))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
@@ -66,6 +81,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_model": op9_language_model,
     "op10_decontamination": op10_decontamination,
+    "edited_texts": edited_texts,
+    "secret_base_spans": secret_base_spans,
+    "word_model_scores": word_model_scores,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_minhash": sql.NEAR_DUPLICATES,
+    "op4_warc": sql.ARCHIVES,
+    "edited_texts": sql.EDITED_TEXTS,
+    "secret_base_spans": sql.BASE_SPANS,
+    "word_model_scores": sql.WORD_MODEL,
+}
