@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip, or a property of its method."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -33,9 +34,17 @@ def encoder():
 ODD = ["", " ", "a   b", "a \n b", "  x", "\n\n a", "foo  \nbar", " 's it's", "a\t b", "  x  　y", "a \x1cb", "x <|endoftext|> y", "é  ñ ()  ​ z", "don't 'll \r\n\r\n  ", "a\nb", "a\n\nb", "a\n\n\nb c\n", "x \ny\n'll z", "b\r\nc d", "日本 語\nだ"]
 
 
-def test_ids_are_the_library_s(encoder):
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.default_tokenizer())
+
+
+def test_ids_are_the_library_s(encoder, library):
     for x, y in zip(ODD * 2, encoder.each(ODD * 2), strict=True):
-        assert encoder.tokenizer.encode(x, add_special_tokens=False).ids == y.tolist(), x
+        assert library.encode(x, add_special_tokens=False).ids == y.tolist(), x
+    assert 50256 in encoder.each(["x <|endoftext|> y"])[0]
 
 
 @settings(max_examples=300, deadline=None)
@@ -95,8 +104,28 @@ def test_column_generation_is_feasible_and_near_its_bound():
             made[r] += k * x
     assert np.allclose(made, demand, atol=1e-6)
     assert sum(x for _, x in solution) <= 1.05 * (demand * np.arange(65)).sum() / 64
-    plan = packing.rounded(solution, demand, 64)
-    assert all(sum(r * k for r, k in p.items()) == 64 for p, _ in plan)
+    check_rounded(demand, packing.rounded(solution, demand, 64), 64)
+
+
+def check_rounded(demand, plan, capacity):
+    used = np.zeros_like(demand)
+    for p, n in plan:
+        assert n > 0 and sum(r * k for r, k in p.items()) <= capacity
+        for r, k in p.items():
+            used[r] += n * k
+    left = int(((demand - used) * np.arange(len(demand)))[:capacity].sum())
+    assert (used <= demand).all() and left >= sum(n * (capacity - sum(r * k for r, k in p.items())) for p, n in plan)
+    return left
+
+
+def test_most_items_go_through_patterns():
+    rng = np.random.default_rng(5)
+    lengths = np.clip(rng.lognormal(4, 1, 8_000).astype(int), 1, 255)
+    demand = np.bincount(lengths, minlength=257)
+    left = check_rounded(demand, packing.rounded(packing.column_generation(demand, 256), demand, 256), 256)
+    assert left < 0.1 * (demand * np.arange(257)).sum()
+    plan = packing.layout(demand, 256)
+    assert plan.sequences <= lengths.sum() / 256 + 9
 
 
 def test_grammar_round_trip(encoder):
@@ -371,7 +400,7 @@ def test_line_dedup(spark, group):
 
     for i, a in enumerate(different):
         for b in different[:i]:
-            if min(len(a), len(b)) >= 12 and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
+            if abs(len(a) - len(b)) <= 2 and distance(a, b) <= how.allowed(max(len(a), len(b))):
                 root[find(a)] = find(b)
     seen, want = set(), defaultdict(list)
     for i, k, x in lines:
@@ -404,12 +433,18 @@ def test_lines_are_compared_across_the_shortest_length(spark, group):
 
     for i, a in enumerate(lines):
         for j in range(i):
-            if a == lines[j] or max(len(a), len(lines[j])) >= 24 and distance(a, lines[j]) <= 2:
+            if a == lines[j] or distance(a, lines[j]) <= (2 if max(len(a), len(lines[j])) >= 24 else 1):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     assert {r.doc_id: r.n_removed for r in rows} == {i: int(find(i) != i) for i in range(len(lines))}
 
 
+def test_edits_grow_with_the_line(spark):
+    lines = ["abcdefghijk", "abcdefghijx", "Abcdefghijkl", "Abcdefghijkx", "Abcdefghixyl", "zzzzzzzzzz", "zzzzzzzzzz"]
+    rows = linededup.deduplicated_lines(documents(spark, lines)).collect()
+    assert {r.doc_id: r.n_removed for r in rows} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 0, 5: 0, 6: 1}
+
+
 def test_lines_shorter_than_the_edits_do_no_harm(spark):
     rows = linededup.deduplicated_lines(documents(spark, ["a", "ab", "abcd", "abce", "x\nx"]), linededup.Lines(shortest=1)).collect()
     assert {r.doc_id: r.n_removed for r in rows}[3] == 1 and {r.doc_id: r.n_removed for r in rows}[4] >= 1
@@ -470,7 +505,7 @@ def test_an_overlap_within_a_weaker_stretch_is_found():
     rows = found_on(" ".join(item), " ".join(text))
     assert rows and rows[0][1] == 0 and rows[0][2] >= 13 and all(100 * r[5] >= 80 * (r[2] - r[1]) and r[2] - r[1] >= 13 for r in rows)
     # 16 of 20 words, in two parts that no extension joins
-    assert found_on(" ".join(item), " ".join([*item[:8], *"abcd", *item[12:20], "z"])) == []  # no seed hits
+    assert found_on(" ".join(item), " ".join([*item[:8], *"abcd", *item[12:20], "z"])) == [(0, 0, 20, 0, 20, 16)]
     assert found_on(" ".join(item), " ".join([*item[:12], *"abcd", *item[16:28], "z"])) == [(0, 0, 28, 0, 28, 24)]
 
 
@@ -481,8 +516,171 @@ def test_overlaps_are_those_of_brute_force(rate):
         item = [f"i{k}" for k in range(59)]
         text = [f"x{k}" if rng.random() < rate else w for k, w in enumerate(item)]
         same = [x == y for x, y in zip(item, text, strict=True)]
-        seeds = [at for m in decontaminate.MASKS for at in range(59 - len(m) + 1) if all(same[at + k] for k, c in enumerate(m) if c == "1")]
-        want = bool(seeds) and any(same[a] and same[b - 1] and 100 * sum(same[a:b]) >= 80 * (b - a) for a in range(59) for b in range(a + 13, 60))
+        want = any(100 * sum(same[a:b]) >= 80 * (b - a) for a in range(59) for b in range(a + 13, 60))
         rows = found_on(" ".join(item), " ".join(["before", *text, "after"]))
         assert all(b - a >= 13 and d - c == b - a and a - c == 1 and n == sum(same[c:d]) and 100 * n >= 80 * (b - a) for _, a, b, c, d, n in rows)
         assert len(set(rows)) == len(rows) and (rows or not want)
+
+
+def test_no_substitution_of_a_short_item_is_missed():
+    for n in range(1, 13):
+        item = [f"i{k}" for k in range(n)]
+        for count in range(n - -(-80 * n // 100) + 1):
+            for places in itertools.combinations(range(n), count):
+                text = ["x" if k in places else w for k, w in enumerate(item)]
+                assert found_on(" ".join(item), " ".join(["before", *text, "after"])) == [(0, 1, n + 1, 0, n, n - count)]
+
+
+def test_texts_that_repeat_themselves():
+    rows = found_on("same " * 400, "same " * 4000)
+    # a row for each diagonal with 13 words
+    assert len(rows) == 4000 + 400 - 1 - 2 * 12 and all(b - a >= 13 and n == b - a for _, a, b, _, _, n in rows)
+    assert len(found_on("a b " * 200, "a b " * 2000)) > 2000
+
+
+def test_hits_are_looked_at_in_parts(monkeypatch):
+    rng = random.Random(21)
+    item, text = ([rng.choice("abc") for _ in range(60)] for _ in range(2))
+    text += item[5:40]
+    want = found_on(" ".join(item), " ".join(text))
+    monkeypatch.setattr(decontaminate, "HITS", 50)
+    assert found_on(" ".join(item), " ".join(text)) == want and want
+
+
+def test_scores_are_those_of_brute_force(spark):
+    rng = random.Random(22)
+    texts = [prose(rng, rng.choice([1, 20, 150]), 60) for _ in range(300)]
+    rows = {r.doc_id: r for r in lm.language_model_scores(documents(spark, texts), batch_bytes=20_000).collect()}
+    words = {i: [*t.split(), None] for i, t in enumerate(texts)}
+    grams = {i: list(zip([None, *w[:-1]], w, strict=True)) for i, w in words.items()}
+    train = [i for i in words if not lm.fold(i)[0]]
+    deleted = [i for i in train if lm.fold(i)[1]]
+    kept = [i for i in train if not lm.fold(i)[1]]
+    bucket = lambda n: math.ceil(math.log2(n + 1))
+    count = lambda ids: (Counter(w for i in ids for w in words[i]), Counter(g for i in ids for g in grams[i]))
+    (u, g), total, uniform = count(kept), sum(len(words[i]) for i in kept), 1 / (len(count(train)[0]) + 1)
+    tokens_ = defaultdict(list)
+    for i in deleted:
+        for a, w in grams[i]:
+            tokens_[bucket(u[a])].append((g[a, w] / max(u[a], 1), u[w] / total, uniform))
+            tokens_["all"].append(tokens_[bucket(u[a])][-1])
+    weights = {}
+    for b, p in tokens_.items():
+        p, w = np.array(p), np.array(lm.DEFAULT_WEIGHTS)
+        for _ in range(100):
+            share = p * w
+            w = np.maximum((share / share.sum(axis=1, keepdims=True)).mean(axis=0), 1e-6)
+            w /= w.sum()
+        weights[b] = w
+    (u, g), total = count(train), sum(len(words[i]) for i in train)
+    for i, r in rows.items():
+        want = 0.0
+        for a, w in grams[i]:
+            x = np.array(weights.get(bucket(u[a]), weights["all"]))
+            if u[a] == 0:
+                x = np.array([0, *x[1:]]) / x[1:].sum()
+            want += math.log10(x @ (g[a, w] / max(u[a], 1), u[w] / total, uniform))
+        # tokens alike to a tenth of a decade share a cell in the operator's estimate of the weights
+        assert r.score == pytest.approx(want, rel=0.01), i
+
+
+def test_counts_beyond_32_bits():
+    big = np.full(4, (1 << 32) - 1, np.uint32)
+    out = lm._totals(big, np.array([0, 3]))
+    assert out.tolist() == [3 * ((1 << 32) - 1), (1 << 32) - 1] and lm.unsqueezed(lm.squeezed(out)).tolist() == out.tolist()
+    assert lm.unsqueezed(lm.squeezed(lm._totals(np.array([1, 2], np.uint32), np.array([0])))).tolist() == [3]
+
+
+def test_unseen_contexts_have_no_bigram_share():
+    w = lm.learn_weights(np.array([(3, 100.0, 0.5, 0.001)]), 1e-6)
+    assert w[0, 0] == 0 and np.allclose(w.sum(axis=1), 1)
+
+
+def test_repeated_ids_of_near_duplicates(spark):
+    a, b, c = (f"{x} " + " ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b), (9, a), (7, c), (8, c), (8, c), (4, None), (5, None), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = minhash.near_duplicates(docs, minhash.NearDuplicates(words=2)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == sorted([("5", 30, "3"), ("5", 30, "3"), ("3", 30, "3"), ("9", 30, "3"), ("7", 30, "7"), ("8", 30, "7"), ("8", 30, "7"), ("4", 0, "4"), ("5", 0, "5"), ("None", 30, "None")])
+    left = minhash.deduplicate(spark.createDataFrame([*rows, (7, "zz yy xx"), (7, c)], docs.schema), minhash.NearDuplicates(words=2)).collect()
+    assert sorted(((r.doc_id or -1), r.text or "") for r in left) == [(-1, a), (3, b), (4, ""), (7, c)]
+
+
+def test_pairs_at_the_threshold_are_caught(spark):
+    rng, texts = random.Random(23), []
+    for k in range(150):
+        base = [f"w{k}_{i}" for i in range(200)]
+        other = list(base)
+        for at in rng.sample(range(200), rng.choice([14, 16, 18, 20])):
+            other[at] = f"x{rng.randrange(10**9)}"
+        texts += [" ".join(base), " ".join(other)]
+    sets = [{tuple(t.split()[i : i + 2]) for i in range(199)} for t in texts]
+    near = [k for k in range(150) if 100 * len(sets[2 * k] & sets[2 * k + 1]) >= 70 * len(sets[2 * k] | sets[2 * k + 1])]
+    rows = {r.doc_id: r for r in minhash.near_duplicates(documents(spark, texts), minhash.NearDuplicates(words=2, percent=70)).collect()}
+    assert len(near) > 60 and all(rows[2 * k + 1].component_id == 2 * k for k in near)
+
+
+def test_linked_spans_are_those_of_brute_force(spark):
+    rng = random.Random(24)
+    bits = ["user=alice", "AKIA" + "Q" * 16, "password: hunter22", "aB3xY9kLmN0pQr7sTu", "https://db.example.com/x", "0123456789abcdef" * 2, "k1" * 150, "plain words here"]
+    texts = [" ; ".join(rng.choice(bits) + " ." * rng.choice([0, 5, 60, 99, 101, 140]) for _ in range(rng.randrange(1, 7))) for _ in range(150)]
+    rows = {r.doc_id: r.spans for r in secrets.scan(documents(spark, texts)).collect()}
+    python = {k: re.compile(p.replace("(?i:", "(?i:")) for k, (_, p, _, _) in secrets.KINDS.items()}
+    for i, t in enumerate(texts):
+        found = [(m.start(), o, k, m.end()) for k, (o, _, _, _) in secrets.KINDS.items() for m in python[k].finditer(t) if k != "assign" or len(m[2]) >= 6]
+        role = lambda s: secrets.KINDS[s[2]][2]
+        near = lambda s, r: any(role(x) == r and x[0] - s[3] <= 200 and s[0] - x[3] <= 200 for x in found)  # noqa: E731, B023
+        strong = [s for s in found if secrets.KINDS[s[2]][3]]
+        want = list(strong)
+        for s in found:
+            if s not in strong and not any(b[0] <= s[0] and s[3] <= b[3] for b in strong):
+                others = {"id": ["secret"], "secret": ["id"], "endpoint": ["id", "secret"]}[role(s)]
+                want += [s] if all(near(s, r) for r in others) else []
+        assert rows[i] == ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(want)), t
+
+
+def test_trees_are_what_a_walk_gives():
+    rng = np.random.default_rng(25)
+    x = rng.random((300, 3))
+    trees = toxicity.Trees(rounds=6).fit(x, (x[:, 0] + x[:, 1] > 1).astype(int))
+    for row, got in zip(x[:50], trees.raw(x[:50]), strict=True):
+        want = trees.base
+        for feature, cut, value in trees.nodes:
+            at = 0
+            for level in range(trees.depth):
+                node = (1 << level) - 1 + at
+                at = 2 * at + int(np.searchsorted(trees.edges[feature[node]], row[feature[node]], "right") > cut[node])
+            want += value[at]
+        assert got == pytest.approx(want)
+
+
+def test_toxicity_features_are_those_of_a_plain_loop():
+    flags = toxicity.Flags(frozenset({"zork"}), frozenset({"blar"}))
+    text = "You IDIOT ! a zork, blarney and 1d10t i-d-i-o-t fine day your hat"
+    words = text.split()
+    n, got = len(words), toxicity.features(text, flags)
+    bad = [w for w in words if toxicity.bare(w) in toxicity.INSULTS or toxicity.bare(w) == "zork" or toxicity.bare(w).startswith("blar")]
+    assert got[0] == pytest.approx(100 * sum(toxicity.bare(w) in toxicity.INSULTS for w in words) / n)
+    assert got[1] == pytest.approx(100 / n) and got[2] == pytest.approx(100 / n) and got[4] == pytest.approx(100 * 2 / n)
+    assert got[11] >= len(bad) and got[-1] == pytest.approx(math.log1p(n)) and toxicity.features("", flags) == (0.0,) * 16
+
+
+def test_archives_are_members_that_the_index_finds(spark, tmp_path):
+    import gzip
+
+    rng = random.Random(26)
+    html = [None, "", "x" * 300_000, "é\x00\r\n\r\nWARC/1.0", *("".join(rng.choice("abc<>\n") for _ in range(rng.randrange(3000))) for _ in range(40))]
+    rows = [(i, f"http://h{i % 3}.example.com/{i}", t, "x", i, "y") for i, t in enumerate(html)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, first long, value string")
+    out = warc.archive(pages, f"file://{tmp_path}/w").collect()
+    raw = {p.name: p.read_bytes() for p in (tmp_path / "w").glob("part-*")}
+    assert sum(gzip.decompress(x).count(b"WARC-Record-ID") for x in raw.values()) == len(html)
+    for r in out:
+        head, content = warc.read_record(raw[r.run], r.record_at, r.record_bytes)
+        assert head["warc-record-id"] == f"<urn:page:{r.page_id}>" and content.partition(b"\r\n\r\n")[2] == (html[r.page_id] or "").encode()
+    several = b"".join(warc.zlib_member(x) for x in (b"one", b"", b"two"))
+    assert [x for _, _, x in warc.members(several)] == [b"one", b"two"]
+    with pytest.raises(ValueError, match="no end"):
+        list(warc.members(several[:-3]))
+    small = warc.merge_runs(warc.read_archives(spark, f"file://{tmp_path}/w"), range_captures=5).collect()
+    assert sorted(small) == sorted(out) and [warc.capture_key((r.urlkey, r.ts, r.page_id)) for r in small] == sorted(warc.capture_key((r.urlkey, r.ts, r.page_id)) for r in small)
