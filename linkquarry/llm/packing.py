@@ -296,7 +296,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, ca
         whole, cut = None, pieces
     else:
         whole, cut = pieces.filter("whole").withColumn("ids_crc32", F.col("crc")), pieces.filter("NOT whole")
-    cut = ids.join(cut, key)  # Spark broadcasts the cut pieces if they are few
+    # a table of their own has a size that Spark knows before it plans the join: small ones are broadcast, so ids stay where they are
+    cut = ids.join(cut if with_ids else common.materialize(cut, "cut-pieces"), key)
     cut = cut.withColumn("ids", F.expr("substring(all_ids, CAST(4 * (start - chunk) + 1 AS INT), CAST(4 * length AS INT))")).withColumn("ids_crc32", F.crc32("ids"))
     return (cut.select(*out) if whole is None else whole.select(*out).unionByName(cut.select(*out)))
 
