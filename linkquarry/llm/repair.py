@@ -43,12 +43,14 @@ def _chosen(symbols: np.ndarray, open_: np.ndarray, min_count: int, most: int) -
     if len(code) == 0:
         return np.empty(0, np.uint32), np.empty(0, np.uint32)
     code.sort()
-    at = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-    count = np.diff(np.append(at, len(code)))
-    frequent = np.flatnonzero(count >= min_count)
-    frequent = frequent[np.lexsort((code[at[frequent]], -count[frequent]))]
+    # where a sorted code equals the one min_count - 1 places on, it's frequent: only those places are looked at
+    lag = min_count - 1
+    seen = code[np.flatnonzero(code[lag:] == code[: max(0, len(code) - lag)])]
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(seen)), bool), seen[1:] != seen[:-1])))
+    count = np.diff(np.append(at, len(seen))) + lag
+    frequent = np.lexsort((seen[at], -count))
     lefts, rights, out = set(), set(), []
-    for v in code[at[frequent]].tolist():
+    for v in seen[at[frequent]].tolist():
         a, b = v >> half, v & (1 << half) - 1
         if a in rights or b in lefts or (a == b and (a in lefts or b in rights)):
             continue
@@ -85,10 +87,11 @@ def compress(symbols: np.ndarray, first_of_doc: np.ndarray, first_rule: int, min
         wide = int(place[1].max()) + 1
         rule = np.zeros((int(place[0].max()) + 1) * wide, np.uint32)
         rule[place[0][a] * wide + place[1][b]] = first_rule + len(left) + np.arange(len(a), dtype=np.uint32)
-        new = rule[place[0][symbols[:-1]] * wide + place[1][symbols[1:]]]
-        new[~open_] = 0
-        at = np.flatnonzero(new)
-        new = new[at]
+        # the right symbol is looked up only beside a chosen left one
+        found = place[0][symbols[:-1]]
+        at = np.flatnonzero((found > 0) & open_)
+        new = rule[found[at] * wide + place[1][symbols[at + 1]]]
+        at, new = at[new > 0], new[new > 0]
         same = symbols[at] == symbols[at + 1]
         if same.any():  # of a run of equal symbols every other place starts a pair
             run = np.cumsum(np.concatenate(([True], np.diff(at) != 1)))
@@ -97,10 +100,10 @@ def compress(symbols: np.ndarray, first_of_doc: np.ndarray, first_rule: int, min
             at, new = at[keep], new[keep]
         before = len(symbols)
         symbols[at] = new
-        gone = np.zeros(before, bool)
-        gone[at + 1] = True
-        starts = starts - np.concatenate(([0], np.cumsum(gone)))[starts]
-        symbols = symbols[~gone]
+        stays = np.ones(before, bool)
+        stays[at + 1] = False
+        starts = starts - np.searchsorted(at + 1, starts)  # less what went before each
+        symbols = symbols[stays]
         left, right = np.concatenate((left, a)), np.concatenate((right, b))
         if before - len(symbols) < min_saving * before:
             break
