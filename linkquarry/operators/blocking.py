@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
 from ..sources import stage
-from . import tfidf
+from . import overlap, tfidf
 
 PAIR = ["s1_entity_id", "candidate_entity_id", "candidate_source"]
 
@@ -154,10 +155,67 @@ def by_name_tokens(s1: DataFrame, pool: DataFrame, how: Blocking = Blocking()) -
 
 def by_token_overlap(queries: DataFrame, index: DataFrame, least: int = 1, top: int = 50) -> DataFrame:
     """query_id, candidate_id, score from (query_id, token) and (candidate_id, token): the best `top` by common tokens, and
-    of those the ones with `least`. No country, no cap."""
-    scored = queries.distinct().join(index.distinct(), "token").groupBy("query_id", "candidate_id").agg(F.count("*").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate_id")
-    return scored.withColumn("place", F.row_number().over(order)).filter((F.col("place") <= top) & (F.col("score") >= least)).drop("place")
+    of those the ones with `least`. No country, no cap: every pair counts.
+
+    Tokens are numbers by falling frequency. Ids with the same tokens are one set; of a set of the index only its first
+    `top` ids by order can come among the best. Blocks of sets meet in tasks, so pairs that share a frequent token are
+    never rows.
+    """
+    mine, theirs = (stage.materialize(d.filter("token IS NOT NULL").distinct(), "id-tokens") for d in (queries, index))
+    count = theirs.groupBy("token").agg(F.count("*").alias("n")).join(mine.select("token").distinct(), "token", "left_semi")
+    order = [F.desc("n"), F.col("token")]
+    words = stage.materialize(count.repartitionByRange(*order).sortWithinPartitions(*order).select("token", F.monotonically_increasing_id().alias("t")), "vocabulary")
+    sets = lambda d, who: stage.materialize(d.join(words, "token").groupBy(F.col(who).alias("id")).agg(F.sort_array(F.collect_list("t")).alias("tokens")), "id-sets")
+    asked_ids, held_ids = sets(mine, "query_id"), sets(theirs, "candidate_id")
+    asked, held = _numbered_sets(asked_ids), _numbered_sets(held_ids)
+    met = _best_sets(asked, held, max(1, least), top)
+    nth = F.row_number().over(Window.partitionBy("p").orderBy("candidate_id"))
+    ids = held_ids.join(held, "tokens").select(F.col("no").alias("p"), F.col("id").alias("candidate_id")).withColumn("nth", nth).filter(F.col("nth") <= top).drop("nth")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "candidate_id"))
+    best = met.join(ids, "p").withColumn("place", place).filter(F.col("place") <= top)
+    who = asked_ids.join(asked, "tokens").select(F.col("no").alias("q"), F.col("id").alias("query_id"))
+    return who.join(best, "q").select("query_id", "candidate_id", "score")
+
+
+def _numbered_sets(ids: DataFrame) -> DataFrame:
+    """no, tokens: distinct sets of (id, tokens), numbered in the order of their least ids (a null id is the least)."""
+    first = ids.groupBy("tokens").agg(F.min(F.struct("id")).alias("first"))
+    return stage.materialize(first.repartitionByRange("first").sortWithinPartitions("first").select(F.monotonically_increasing_id().alias("no"), "tokens"), "sets")
+
+
+def _best_sets(asked: DataFrame, held: DataFrame, least: int, top: int, asked_block: int = 50_000, held_block: int = 200_000) -> DataFrame:
+    """q, p, score: for each asked set the best `top` of every block of held sets, by number if equal. There are as many
+    blocks as sets need, and of asked sets enough for all cores."""
+    import pyarrow as pa
+
+    cores = asked.sparkSession.sparkContext.defaultParallelism
+    n_held = -(-max(1, held.count()) // held_block)
+    n_asked = max(-(-max(1, asked.count()) // asked_block), -(-3 * cores // n_held))
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        none = np.empty(0, np.int64)
+        who, whom, score = none, none, none
+        if x.num_rows and y.num_rows:
+            y = y.sort_by("no").combine_chunks()
+            lists = y.column("tokens").combine_chunks()
+            block = overlap.Held(lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False))
+            tokens = x.column("tokens").combine_chunks()
+            each = np.split(tokens.flatten().to_numpy(zero_copy_only=False), np.cumsum(tokens.value_lengths().to_numpy(zero_copy_only=False))[:-1])
+            who, whom, score = overlap.matches(zip(x.column("no").to_pylist(), each, strict=True), block, y.column("no").to_numpy(), top, least)
+        return pa.table({"q": who, "p": whom, "score": score})
+
+    deal = lambda n, seed: F.pmod(F.xxhash64("no", F.lit(seed)), F.lit(n)).cast("int")
+    parts = n_asked * n_held
+    # a block of each side to a task; the number of tasks is given, as little data holds much work, and blocks have keys
+    # that fall into different tasks
+    spread = asked.sparkSession.range(20 * parts).select(F.col("id").cast("int").alias("key")).groupBy(F.pmod(F.hash("key"), F.lit(parts)).alias("task")).agg(F.min("key").alias("key")).collect()
+    keys = [r.key for r in spread]
+    keys += [-1 - k for k in range(parts - len(keys))]
+    every = lambda n, place: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get(F.lit(keys), place(k))))
+    left = asked.select(every(n_held, lambda k: deal(n_asked, 1) * n_held + k).alias("block"), "no", "tokens").repartition(parts, "block")
+    right = held.select(every(n_asked, lambda k: deal(n_held, 2) + k * n_held).alias("block"), "no", "tokens").repartition(parts, "block")
+    met = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(meet, "q long, p long, score long")
+    return stage.materialize(met, "met-sets")
 
 
 def similar_texts(query: Column, candidates: Column, least: float = 0.5) -> Column:

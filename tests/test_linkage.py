@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from linkquarry.operators import blocking, decision, features, learning, profile, tfidf, validate
+from linkquarry.operators import blocking, decision, features, learning, overlap, profile, tfidf, validate
 from linkquarry.plans import catalog, cli, pipeline
 from linkquarry.sources import tables
 
@@ -58,6 +58,47 @@ def test_token_overlap_applies_least_after_top(spark):
     assert {(r.candidate_id, r.score) for r in blocking.by_token_overlap(q, index, least=2).collect()} == {("x", 2)}
 
 
+def test_token_overlap_keeps_the_best_of_every_pair(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: f"w{min(rng.randrange(40), rng.randrange(40), rng.randrange(40))}"
+    make = lambda n, p: {f"{p}{i}": {word() for _ in range(rng.randrange(1, 12))} for i in range(n)}
+    asked, held = make(60, "q"), make(400, "c")
+    asked |= {f"r{i}": asked["q1"] for i in range(5)}
+    held |= {f"d{i}": held["c7"] for i in range(30)}
+    held[None] = held["c7"]
+    df = lambda d, name: spark.createDataFrame([(k, w) for k, v in d.items() for w in v] * 2 + [("n", None)], f"{name} string, token string")
+    want = set()
+    for q, x in asked.items():
+        ranked = sorted((-len(x & y), c is not None, c or "", c) for c, y in held.items())
+        want |= {(q, c, -s) for s, _, _, c in ranked[:20] if s <= -2}
+    out = blocking.by_token_overlap(df(asked, "query_id"), df(held, "candidate_id"), least=2, top=20).collect()
+    assert len(out) == len(want) and {tuple(r) for r in out} == want
+
+
+@pytest.mark.parametrize("first, bits", [(1, 64), (3, 128), (40, 512)])
+def test_best_sets_of_a_block(monkeypatch, first, bits):
+    import numpy as np
+
+    monkeypatch.setattr(overlap, "FIRST", first)
+    monkeypatch.setattr(overlap, "BITS", bits)
+    rng = np.random.default_rng(first)
+    sets = [np.unique(rng.zipf(1.3, rng.integers(1, 30)).clip(0, 300)) for _ in range(700)]
+    block = overlap.Held(np.concatenate(sets), np.array([len(x) for x in sets]))
+    for top, least in ((1, 1), (5, 2), (50, 3)):
+        for asked in sets[::23] + [np.array([1000])]:
+            scores = [len(np.intersect1d(asked, x)) for x in sets]
+            want = sorted(i for i in sorted(range(len(sets)), key=lambda i: (-scores[i], i))[:top] if scores[i] >= least)
+            at, score = block.best(asked, top, least)
+            assert at.tolist() == want and score.tolist() == [scores[i] for i in want]
+
+
+def test_token_overlap_of_documents_without_a_language(spark, tmp_path):
+    spark.createDataFrame([(3, "alpha beta", None), (4, "alpha beta", "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in catalog.doc_token_overlap(spark, str(tmp_path)).collect()] == [("S1-3", "S2-4", 2)]
+
+
 def test_tfidf_grams(spark):
     df = spark.createDataFrame([("a bcd",)], "t string").select(tfidf.grams(F.col("t")).alias("g"))
     assert df.first().g == [" a ", " bc", "bcd", "cd ", " bcd", "bcd "]
