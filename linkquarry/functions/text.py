@@ -192,6 +192,14 @@ def bigram_dice(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((F.length(a) < 2) | (F.length(b) < 2), 0.0).otherwise(F.lit(2.0) * both / (F.size(x) + F.size(y)))
 
 
+def bigram_marks(c: Column) -> Column:
+    """The character bigrams of an ASCII text as numbers, each with how many equal ones come before it: no two are the same,
+    so that common bigrams with repeats are a set's intersection."""
+    code = lambda g: F.ascii(g).cast("long") * 128 + F.ascii(F.substr(g, F.lit(2), F.lit(1)))
+    bound = F.array(F.sort_array(F.transform(bigrams(c), code)))  # sorted once, then read by each of its bigrams
+    return F.get(F.transform(bound, lambda xs: F.transform(xs, lambda x, i: x * F.lit(1 << 32) + (i - F.array_position(xs, x)))), F.lit(0))
+
+
 # Profiling
 
 

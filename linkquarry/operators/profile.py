@@ -113,30 +113,59 @@ def truth_histogram(truth: DataFrame) -> DataFrame:
     return truth.groupBy(F.size("ids").alias("n_links")).agg(F.count("*").alias("n"))
 
 
-def cleaned(records: DataFrame, fold: bool = True) -> DataFrame:
-    """Records with what the measures below need, made once a record."""
+def cleaned(records: DataFrame, fold: bool = True, keep: tuple[str, ...] = ("entity_id",)) -> DataFrame:
+    """Records with what the measures below need, made once a record, and the columns to keep."""
     name, address = text.clean_text("business_name", fold), text.clean_text("business_address", fold)
-    out = records.select("entity_id", "country", text.filled("business_name").alias("name"), text.filled("business_address").alias("address"), name.alias("cname"), address.alias("caddress"))
+    out = records.select(*keep, "country", text.filled("business_name").alias("name"), text.filled("business_address").alias("address"), name.alias("cname"), address.alias("caddress"))
     return out.select(
         "*", text.clean_tokens(F.col("cname")).alias("name_tokens"), text.clean_tokens(F.col("caddress"), stopwords=False).alias("address_tokens"), F.array_distinct(text.numbers("address")).alias("numbers"),
         F.array_distinct(text.numbers("address", fixed.US_ZIP)).alias("zips"), F.array_distinct(text.numbers("address", r"\b[A-Z]{2}\b")).alias("codes"), text.address_part("address", 2).alias("city"), text.address_part("address", 1).alias("state"), F.get(F.split("cname", " "), F.lit(0)).alias("first_word"),
+        text.bigram_marks(F.col("cname")).alias("cname_marks"), text.bigram_marks(F.col("caddress")).alias("caddress_marks"),
     )
 
 
+def _side(d: DataFrame, p: str) -> DataFrame:
+    return d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns])
+
+
 def linked(pairs: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:
-    """Pairs with both cleaned records, a_ and b_; pairs without one are left out."""
-    side = lambda d, p: d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns])
-    return pairs.join(side(s1, "a"), F.col("s1_entity_id") == F.col("a_entity_id")).join(side(pool, "b"), F.col("candidate_entity_id") == F.col("b_entity_id"))
+    """Pairs with both cleaned records, a_ and b_, and `n`, 1; pairs without one are left out."""
+    rows = pairs.join(_side(s1, "a"), F.col("s1_entity_id") == F.col("a_entity_id")).join(_side(pool, "b"), F.col("candidate_entity_id") == F.col("b_entity_id"))
+    return rows.withColumn("n", F.lit(1).cast("long"))
+
+
+def linked_by(records: DataFrame, keys: list[str], fold: bool = True) -> DataFrame:
+    """`linked` where a reference record's links are all pool records that agree in the keys; a null key links nothing.
+
+    Records of a side with the same keys and contents are one, so a row stands for `n` pairs. Only records are dealt out:
+    pairs come from the join on the keys and needn't be written anywhere.
+    """
+    content = [*keys, "country", "business_name", "business_address"]
+    spark = records.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+    def side(which: Column, p: str) -> DataFrame:
+        rows = records.filter(which).groupBy(*content).agg(F.count("*").alias("n"))
+        # the number of tasks is given, as few records can have many pairs
+        return _side(cleaned(rows.repartition(parts, *keys), fold, keep=(*keys, "n")), p)
+
+    a, b = side(F.col("source") == "S1", "a"), side(F.col("source") != "S1", "b")
+    same = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys]
+    return a.join(b, reduce(Column.__and__, same)).withColumn("n", F.col("a_n") * F.col("b_n"))
 
 
 def set_jaccard(a: str, b: str) -> Column:
+    """Of two arrays without repeats."""
     x, y = F.col(a), F.col(b)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    both = F.size(F.array_intersect(x, y))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(both / (F.size(x) + F.size(y) - both))
 
 
 def clean_dice(a: str, b: str) -> Column:
-    x, y = F.col(a), F.col(b)
-    return F.when((x == "") | (y == ""), 0.0).otherwise(text.bigram_dice(x, y))
+    """`text.bigram_dice` of two cleaned texts by their marks; 0 if either is empty."""
+    x, y, xs, ys = F.col(a), F.col(b), F.col(f"{a}_marks"), F.col(f"{b}_marks")
+    some = F.lit(2.0) * F.size(F.array_intersect(xs, ys)) / (F.size(xs) + F.size(ys))
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when((F.size(xs) == 0) | (F.size(ys) == 0), 0.0).otherwise(some)
 
 
 def difficulty(rows: DataFrame) -> DataFrame:
@@ -146,10 +175,13 @@ def difficulty(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("aj", F.when(there, F.col("aj0")).otherwise(0.0))
     same = (F.col("a_cname") == F.col("b_cname")) & (F.col("a_cname") != "")
     gap = lambda a, b: F.abs(F.length(a) - F.length(b))
+    n = F.col("n")
+    times = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0).cast("long"))
+    mean = lambda x: F.sum(x * n) / F.sum(F.when(x.isNotNull(), n))
     return rows.agg(
-        F.count("*").alias("pairs"), F.avg(same.cast("double")).alias("exact_name"), F.avg("nj").alias("name_jaccard"), F.avg("nd").alias("name_dice"), F.avg(gap("a_name", "b_name")).alias("name_gap"), F.count_if(~there).alias("no_address"),
-        F.avg(F.when(there, ((F.col("a_caddress") == F.col("b_caddress")) & (F.col("a_caddress") != "")).cast("double"))).alias("exact_address"), F.avg(F.when(there, F.col("aj"))).alias("address_jaccard"), F.avg(F.when(there, F.col("ad"))).alias("address_dice"), F.avg(F.when(there, gap("a_address", "b_address"))).alias("address_gap"),
-        F.count_if(~same & (F.col("nj") >= 0.5)).alias("similar_names"), F.count_if((F.col("nj") < 0.3) & (F.col("aj") >= 0.5)).alias("weak_name_strong_address"), F.count_if((F.col("nj") < 0.3) & (F.col("aj") < 0.3)).alias("both_noisy"),
+        times(F.lit(True)).alias("pairs"), mean(same.cast("double")).alias("exact_name"), mean(F.col("nj")).alias("name_jaccard"), mean(F.col("nd")).alias("name_dice"), mean(gap("a_name", "b_name")).alias("name_gap"), times(~there).alias("no_address"),
+        mean(F.when(there, ((F.col("a_caddress") == F.col("b_caddress")) & (F.col("a_caddress") != "")).cast("double"))).alias("exact_address"), mean(F.when(there, F.col("aj"))).alias("address_jaccard"), mean(F.when(there, F.col("ad"))).alias("address_dice"), mean(F.when(there, gap("a_address", "b_address"))).alias("address_gap"),
+        times(~same & (F.col("nj") >= 0.5)).alias("similar_names"), times((F.col("nj") < 0.3) & (F.col("aj") >= 0.5)).alias("weak_name_strong_address"), times((F.col("nj") < 0.3) & (F.col("aj") < 0.3)).alias("both_noisy"),
     )
 
 
@@ -173,7 +205,8 @@ def blocking_predicates() -> dict[str, Column]:
 def blocking_recall(rows: DataFrame) -> DataFrame:
     """strategy, hits, n_pairs, recall_pct: all ten in one pass."""
     tests = blocking_predicates()
-    wide = rows.agg(F.count("*").alias("n_pairs"), *(F.count_if(F.coalesce(t, F.lit(False))).alias(k) for k, t in tests.items()))
+    times = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0).cast("long"))
+    wide = rows.agg(times(F.lit(True)).alias("n_pairs"), *(times(t).alias(k) for k, t in tests.items()))
     return wide.select("n_pairs", F.explode(F.array(*[F.struct(F.lit(k).alias("strategy"), F.col(k).alias("hits")) for k in tests])).alias("x")).select("x.strategy", "x.hits", "n_pairs", pct(F.col("hits"), F.col("n_pairs"), 3).alias("recall_pct"))
 
 

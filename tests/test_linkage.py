@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from linkquarry.functions import text
 from linkquarry.operators import blocking, decision, features, learning, overlap, profile, tfidf, validate
 from linkquarry.plans import catalog, cli, pipeline
 from linkquarry.sources import tables
@@ -271,3 +272,26 @@ def test_registered_scores_are_of_the_operator_s_own_model(spark, tmp_path, monk
     with pytest.raises(Asked) as asked:
         catalog.QUERIES["gbt_score"](spark, str(tmp_path))
     assert asked.value.args == (learning.Boosting(), True)
+
+
+def test_linked_by_keys_are_the_pairs_of_all_records(spark):
+    names = ["Banana Bananas", "banana", "A", "", "Mississippi & Co", "aaaa aaa"]
+    rows = [(f"S{1 + i % 3}-{i}", names[i % 6 if i % 4 else 0], f"{i % 5} aa st, aaa {i % 2}" if i % 7 else "", "US", f"S{1 + i % 3}", [None, "k", "l"][i * 7 % 11 % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows + rows[:6], RECORD + ", key string")
+    each = profile.cleaned(df.drop("key"), fold=False)
+    side = lambda name, test: df.filter(test).select(F.col("entity_id").alias(name), "key")
+    pairs = side("s1_entity_id", "source = 'S1'").join(side("candidate_entity_id", "source <> 'S1'"), "key")
+    records = each.dropDuplicates(["entity_id"])
+    by_pairs, by_keys = profile.linked(pairs, records, records), profile.linked_by(df, ["key"], fold=False)
+    assert by_keys.count() < by_pairs.count() == by_keys.agg(F.sum("n")).first()[0]
+    for measure in (profile.difficulty, profile.blocking_recall):
+        a, b = (sorted(map(tuple, measure(x).collect())) for x in (by_pairs, by_keys))
+        assert [pytest.approx(x) for x in a] == b
+    dice = by_keys.filter("a_cname <> '' AND b_cname <> ''").select(profile.clean_dice("a_cname", "b_cname").alias("x"), text.bigram_dice(F.col("a_cname"), F.col("b_cname")).alias("y")).collect()
+    assert len({r.x for r in dice}) > 3 and all(r.x == r.y for r in dice)
+
+
+def test_difficulty_of_no_links(spark):
+    none = profile.linked_by(spark.createDataFrame([], RECORD + ", key string"), ["key"])
+    row = profile.difficulty(none).first()
+    assert row["pairs"] == 0 == row["similar_names"] and row["name_dice"] is None
