@@ -120,7 +120,11 @@ def by_address(s1: DataFrame, pool: DataFrame, how: Blocking = Blocking()) -> Da
     names = [numbered(d) for d in (s1, pool)]
     s1, pool = (d.join(n, ["entity_id", "source"]).drop("entity_id").withColumnRenamed("no", "entity_id") for d, n in zip((s1, pool), names, strict=True))
     _, right = _sides(s1, pool, _country() | {"key": F.explode("address_tokens")})
-    by_token = rarest_tokens(s1, pool, how.rarest).filter(F.col("df") <= how.token_df).drop("df").join(right, ["country", "key"])
+    # the number of tasks is given, as few tokens can have many pairs
+    spark = s1.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    rarest = rarest_tokens(s1, pool, how.rarest).filter(F.col("df") <= how.token_df).drop("df")
+    by_token = rarest.repartition(parts, "country", "key").join(right.repartition(parts, "country", "key"), ["country", "key"])
     paths = [(by_house_and_prefix(s1, pool, 3, how.token_df), 3), (by_token, 2), (by_house(s1, pool, how.token_df), 1)]
     first, *rest = [p.select("s1_entity_id", "candidate_entity_id", F.lit(w).alias("weight")) for p, w in paths]
     for p in rest:

@@ -53,6 +53,13 @@ def test_address_paths_are_weighted(spark):
     assert out == {("S1-1", "S2-1"): 3 + 2 * 3 + 1, ("S1-1", "S2-2"): 2 + 1}
 
 
+def test_address_tokens_are_dealt_to_a_number_of_tasks_that_stays(spark, world):
+    """Few tokens are few bytes, which Spark would put in one task, but can have many pairs."""
+    s1, pool = (blocking.prepare(x) for x in world)
+    plan = blocking.by_address(s1, pool)._jdf.queryExecution().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2
+
+
 def test_token_overlap_applies_least_after_top(spark):
     q = spark.createDataFrame([("q", "a"), ("q", "b")], "query_id string, token string")
     index = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "a")], "candidate_id string, token string")
