@@ -36,81 +36,126 @@ PAYS = 5
 BLOCK_SCHEMA = "part int, block int, part_start long, n_docs long, n_ids long, body binary"
 
 
-def _chosen(symbols: np.ndarray, open_: np.ndarray, min_count: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs to replace this round, most frequent first. open_[i]: symbol i + 1 belongs to the same document."""
-    half = 16 if int(symbols.max()) < 1 << 16 else 32  # small codes sort faster
-    code = (symbols[:-1] << np.uint32(16) | symbols[1:])[open_] if half == 16 else (symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:])[open_]
-    if len(code) == 0:
-        return np.empty(0, np.uint32), np.empty(0, np.uint32)
-    code.sort()
-    # where a sorted code equals the one min_count - 1 places on, it's frequent: only those places are looked at
+#: An occurrence of a pair whose symbols may take more than 16 bits.
+_WIDE = np.dtype([("pair", "u8"), ("at", "u4")])
+
+
+def _occurrences(left: np.ndarray, right: np.ndarray, at: np.ndarray, wide: bool) -> np.ndarray:
+    """Pairs and their places as values that sort by pair, then by place: numbers of 64 bits unless symbols are wide."""
+    if wide:
+        out = np.empty(len(at), _WIDE)
+        out["pair"], out["at"] = left.astype(np.uint64) << np.uint64(32) | right, at
+        return out
+    out = left.astype(np.uint64)
+    for bits, low in ((16, right), (32, at.astype(np.uint64))):
+        out <<= np.uint64(bits)
+        out |= low
+    return out
+
+
+def _places(held: np.ndarray, wide: bool) -> np.ndarray:
+    return held["at"].astype(np.int64) if wide else (held & np.uint64(0xFFFFFFFF)).view(np.int64)
+
+
+def _spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    out = np.arange(int(count.sum()))
+    out += np.repeat(first - np.cumsum(count) + count, count)
+    return out
+
+
+def _frequent(pair: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted pairs those that occur min_count times: the pair, its first place in the order, its count."""
+    # where a sorted pair equals the one min_count - 1 places on, it's frequent: only those places are looked at
     lag = min_count - 1
-    seen = code[np.flatnonzero(code[lag:] == code[: max(0, len(code) - lag)])]
+    again = np.flatnonzero(pair[lag:] == pair[: max(0, len(pair) - lag)])
+    seen = pair.take(again)
     at = np.flatnonzero(np.concatenate((np.ones(min(1, len(seen)), bool), seen[1:] != seen[:-1])))
-    count = np.diff(np.append(at, len(seen))) + lag
-    frequent = np.lexsort((seen[at], -count))
-    lefts, rights, out = set(), set(), []
-    for v in seen[at[frequent]].tolist():
-        a, b = v >> half, v & (1 << half) - 1
-        if a in rights or b in lefts or (a == b and (a in lefts or b in rights)):
-            continue
-        out.append((a, b))
-        lefts.add(a)
-        rights.add(b)
-        if len(out) == most:
-            break
-    pairs = np.array(out, np.uint32).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+    return seen.take(at), again.take(at), np.diff(np.append(at, len(seen))) + lag
+
+
+def _chosen(left: np.ndarray, right: np.ndarray, count: np.ndarray, most: int, top: int) -> np.ndarray:
+    """The pairs to replace this round, most frequent first, of pairs in ascending order with symbols below `top`."""
+    order = np.argsort(-count if len(count) and count.max() >= 1 << 16 else (-count).astype(np.uint16), kind="stable")
+    is_left, is_right, out = bytearray(top), bytearray(top), []
+    lefts, rights = np.frombuffer(is_left, bool), np.frombuffer(is_right, bool)
+    for k in range(0, len(order), 1024):  # those in conflict with earlier parts go at once
+        part = order[k : k + 1024]
+        a, b = left[part], right[part]
+        part = part[~(rights[a] | lefts[b] | (a == b) & (lefts[a] | rights[b]))]
+        for i, a, b in zip(part.tolist(), left[part].tolist(), right[part].tolist(), strict=True):
+            if is_right[a] or is_left[b] or (a == b and (is_left[a] or is_right[b])):
+                continue
+            out.append(i)
+            if len(out) == most:
+                return np.array(out)
+            is_left[a] = is_right[b] = 1
+    return np.array(out, np.int64)
 
 
 def compress(symbols: np.ndarray, first_of_doc: np.ndarray, first_rule: int, min_count: int = PAYS, most_rules: int | None = None, per_round: int = 1024, min_saving: float = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """symbols, and the place where each document starts -> symbols, starts, and the rules' left, right, length.
-    Rounds go on until no pair pays for a rule; without most_rules as long as a symbol fits in 16 bits."""
+    Rounds go on until no pair pays for a rule; without most_rules as long as a symbol fits in 16 bits.
+
+    Symbols stay at their places, with links to the next and the last one that's left. All occurrences of a pair come into
+    being in one round, that which makes the younger of its symbols, and afterwards only go. So a pair that isn't frequent then
+    never is, and a round sorts only the occurrences of pairs that were frequent and those that hold new symbols."""
     most_rules = max(0, (1 << 16) - first_rule) if most_rules is None else most_rules
-    symbols, starts = symbols.astype(np.uint32), first_of_doc.astype(np.int64)
-    left, right = np.empty(0, np.uint32), np.empty(0, np.uint32)
-    while len(symbols) > 1 and len(left) < most_rules:
-        open_ = np.ones(len(symbols) - 1, bool)
-        inner = starts[(starts > 0) & (starts < len(symbols))]
-        open_[inner - 1] = False
-        a, b = _chosen(symbols, open_, min_count, min(per_round, most_rules - len(left)))
-        if not len(a):
+    n, starts = len(symbols), first_of_doc.astype(np.int64)
+    symbols = np.append(symbols, 0).astype(np.uint32)
+    # neighbours within the document; n: none
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    inner = starts[(starts > 0) & (starts < n)]
+    after[inner - 1] = after[max(0, n - 1) :] = before[inner] = before[0] = n
+    top = max(int(symbols.max()) + 1, first_rule) + most_rules
+    wide = top > 1 << 16
+    half = 32 if wide else 16
+    lefts, rights = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
+    length = np.ones(top, np.int64)
+    gone = np.zeros(n + 1, bool)
+    at = np.flatnonzero(after[:n] < n)
+    held = _occurrences(symbols[at], symbols[at + 1], at, wide)
+    first_new, last = first_rule, first_rule + most_rules
+    while len(held) and first_new < last:
+        held.sort()
+        pair, first, count = _frequent(held["pair"] if wide else (held >> np.uint64(32)).astype(np.uint32), min_count)
+        a, b = (pair >> half).astype(np.int64), (pair & (1 << half) - 1).astype(np.int64)
+        k = _chosen(a, b, count, min(per_round, last - first_new), top)
+        if not len(k):
             break
-        top = int(symbols.max()) + 1
-        # each chosen left and right symbol has a number from 1, each chosen pair its rule in a table by both
-        place = []
-        for side in (a, b):
-            values = np.unique(side)
-            number = np.zeros(top, np.int32)
-            number[values] = np.arange(1, len(values) + 1)
-            place.append(number)
-        wide = int(place[1].max()) + 1
-        rule = np.zeros((int(place[0].max()) + 1) * wide, np.uint32)
-        rule[place[0][a] * wide + place[1][b]] = first_rule + len(left) + np.arange(len(a), dtype=np.uint32)
-        # the right symbol is looked up only beside a chosen left one
-        found = place[0][symbols[:-1]]
-        at = np.flatnonzero((found > 0) & open_)
-        new = rule[found[at] * wide + place[1][symbols[at + 1]]]
-        at, new = at[new > 0], new[new > 0]
-        same = symbols[at] == symbols[at + 1]
-        if same.any():  # of a run of equal symbols every other place starts a pair
-            run = np.cumsum(np.concatenate(([True], np.diff(at) != 1)))
-            nth = np.arange(len(at)) - np.concatenate(([0], np.flatnonzero(np.diff(run)) + 1))[run - 1]
-            keep = ~same | (nth % 2 == 0)
-            at, new = at[keep], new[keep]
-        before = len(symbols)
-        symbols[at] = new
-        stays = np.ones(before, bool)
-        stays[at + 1] = False
-        starts = starts - np.searchsorted(at + 1, starts)  # less what went before each
-        symbols = symbols[stays]
-        left, right = np.concatenate((left, a)), np.concatenate((right, b))
-        if before - len(symbols) < min_saving * before:
+        left, right, times = a[k], b[k], count[k]
+        at = _places(held.take(_spans(first[k], times)), wide)
+        new = np.repeat(np.arange(first_new, first_new + len(k), dtype=np.uint32), times)
+        if (left == right).any():  # of a run of equal symbols every other place starts a pair
+            same = np.flatnonzero(np.repeat(left == right, times))
+            apart = np.append(True, (after[at[same[:-1]]] != at[same[1:]]) | (new[same[:-1]] != new[same[1:]]))
+            nth = np.arange(len(same)) - np.flatnonzero(apart)[np.cumsum(apart) - 1]
+            odd = same[nth % 2 == 1]
+            at, new = np.delete(at, odd), np.delete(new, odd)
+        out = after.take(at)
+        follows = after.take(out)
+        symbols[at], after[at], before[follows], gone[out] = new, follows, at, True
+        # a new symbol's pairs: with what follows it, and with an older symbol before it
+        ahead, has_next = before.take(at), np.flatnonzero(follows < n)
+        older = np.flatnonzero((ahead < n) & (symbols.take(ahead) < first_new))
+        ahead = ahead.take(older)
+        made = (_occurrences(new.take(has_next), symbols.take(follows.take(has_next)), at.take(has_next), wide), _occurrences(symbols.take(ahead), new.take(older), ahead, wide))
+        # of the other frequent pairs those occurrences stay that lost neither symbol
+        others = np.ones(len(count), bool)
+        others[k] = False
+        held = held.take(_spans(first[others], count[others]))
+        gone[ahead] = True
+        held = held.compress(~gone.take(_places(held, wide)))
+        gone[ahead] = False
+        held = np.concatenate((held, *made))
+        length[first_new : first_new + len(k)] = length[left] + length[right]
+        lefts.append(left.astype(np.uint32))
+        rights.append(right.astype(np.uint32))
+        first_new += len(k)
+        if len(at) < min_saving * (n - np.count_nonzero(gone) + len(at)):
             break
-    length = np.ones(first_rule + len(left), np.int64)
-    for k, (x, y) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
-        length[first_rule + k] = length[x] + length[y]
-    return symbols, starts, left, right, length[first_rule:]
+    starts = starts - np.searchsorted(np.flatnonzero(gone), starts)  # less what went before each
+    return symbols[:n][~gone[:n]], starts, np.concatenate(lefts), np.concatenate(rights), length[first_rule:first_new]
 
 
 def encode_block(doc_ids: list[int | None], ids: list[np.ndarray], first_rule: int) -> bytes:
@@ -147,44 +192,38 @@ class Block:
         self.starts, self.first_token = take("<u4", n).astype(np.int64), take("<u8", n).astype(np.int64)
         self.left, self.right = take(kind, rules).astype(np.int64), take(kind, rules).astype(np.int64)
         self.length, self.symbols = take("<u4", rules).astype(np.int64), take(kind, size).astype(np.int64)
+        #: by symbol: the number of its ids
+        self.size = np.concatenate((np.ones(self.first_rule, np.int64), self.length))
         self.n_ids = int(self.lengths(self.symbols).sum())
         self._whole: tuple[np.ndarray, np.ndarray] | None = None
 
     def lengths(self, symbols: np.ndarray) -> np.ndarray:
-        rule = symbols >= self.first_rule
-        out = np.ones(len(symbols), np.int64)
-        out[rule] = self.length[symbols[rule] - self.first_rule]
-        return out
+        return self.size.take(symbols)
 
     def expansions(self) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all rules, one after the other, and where each starts."""
+        """The ids of all symbols, one after the other, and where each starts."""
         if self._whole is None:
-            start = np.concatenate(([0], np.cumsum(self.length)))
-            out = np.empty(int(start[-1]), np.uint32)
-            for k, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist(), strict=True)):
-                at = start[k]
-                for x in (a, b):
-                    if x < self.first_rule:
-                        out[at] = x
-                        at += 1
-                    else:
-                        x -= self.first_rule
-                        out[at : at + self.length[x]] = out[start[x] : start[x + 1]]
-                        at += self.length[x]
+            start = np.cumsum(self.size) - self.size
+            out = np.empty(int(self.size.sum()), np.uint32)
+            out[: self.first_rule] = np.arange(self.first_rule)
+            # rules are filled as far as they refer to nothing later
+            refers, k = np.maximum(self.left, self.right) - self.first_rule, 0
+            while k < len(refers):
+                later = refers[k:] >= k
+                end = k + int(later.argmax()) if later.any() else len(refers)
+                if end == k:
+                    raise ValueError("a rule refers to itself or a later one")
+                pairs = np.stack((self.left[k:end], self.right[k:end]), axis=1).ravel()
+                at = int(start[self.first_rule + k])
+                ids = out.take(_spans(start.take(pairs), self.size.take(pairs)))
+                out[at : at + len(ids)] = ids
+                k = end
             self._whole = out, start
         return self._whole
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         whole, start = self.expansions()
-        size = self.lengths(symbols)
-        out = np.repeat(symbols, size).astype(np.uint32)
-        rule = symbols >= self.first_rule
-        if rule.any():
-            at = np.cumsum(size) - size
-            inside = np.repeat(rule, size)
-            source = np.repeat(np.where(rule, start[np.where(rule, symbols - self.first_rule, 0)] - at, 0), size) + np.arange(len(out))
-            out[inside] = whole[source[inside]]
-        return out
+        return whole.take(_spans(start.take(symbols), self.size.take(symbols)))
 
     def document(self, k: int) -> np.ndarray:
         end = self.starts[k + 1] if k + 1 < len(self.starts) else len(self.symbols)

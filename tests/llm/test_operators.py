@@ -54,6 +54,29 @@ def test_ids_of_any_text(encoder, texts):
         assert encoder.tokenizer.encode(x, add_special_tokens=False).ids == y.tolist()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aé,' \n\t\x00\x1c\x85\xa0\u2003\u200b\u3000×ĀяαЖ日ñ\u0301𝒳٣²ſ|"), max_size=40), min_size=1, max_size=5))
+def test_ids_of_any_characters(encoder, texts):
+    for x, y in zip(texts, encoder.each(texts), strict=True):
+        assert encoder.tokenizer.encode(x, add_special_tokens=False).ids == y.tolist()
+
+
+def test_pieces_are_told_apart_by_all_their_bytes(library):
+    fresh = tokens.PieceEncoder(tokens.default_tokenizer())
+    texts = ["a" + "\0" * k for k in range(30)] + ["x " + "b" * k + c for k in range(20, 27) for c in "cd"] + ["é" * k for k in range(14)]
+    for _ in range(2):
+        assert [library.encode(x, add_special_tokens=False).ids for x in texts] == [y.tolist() for y in fresh.each(texts)]
+
+
+def test_a_word_goes_through_the_library_once(library, monkeypatch):
+    fresh, given = tokens.PieceEncoder(tokens.default_tokenizer()), []
+    whole = fresh._whole
+    monkeypatch.setattr(fresh, "_whole", lambda text: given.append(text) or whole(text))
+    texts = ["x kalobe kalobe, kalobe. kalobe;** kalobe!", "x kalobe: kalobe"]
+    assert [y.tolist() for y in fresh.each(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert "".join(given).count("kalobe") <= 1
+
+
 def ids_of(encoder, text, end):
     return np.append(encoder.each([text or ""])[0], np.uint32(end)).astype("<u4").tobytes()
 
@@ -164,6 +187,58 @@ def test_no_pair_that_pays_is_left():
     assert len(left) and counts.max() < 5
 
 
+def brute_grammar(docs, first_rule, min_count, per_round):
+    """Re-Pair that counts every pair anew in every round."""
+    docs, rules = [list(d) for d in docs], []
+    while True:
+        count = Counter((a, b) for d in docs for a, b in itertools.pairwise(d))
+        lefts, rights, made = set(), set(), {}
+        for (a, b), n in sorted(count.items(), key=lambda x: (-x[1], x[0])):
+            if n >= min_count and len(made) < per_round and not (a in rights or b in lefts or a == b and (a in lefts or b in rights)):
+                made[a, b] = first_rule + len(rules) + len(made)
+                lefts.add(a)
+                rights.add(b)
+        if not made:
+            return docs, rules
+        rules += made
+        for k, d in enumerate(docs):
+            out, i = [], 0
+            while i < len(d):
+                pair = tuple(d[i : i + 2])
+                out.append(made.get(pair, d[i]))
+                i += 2 if pair in made else 1
+            docs[k] = out
+
+
+@pytest.mark.parametrize("first_rule", [10, 70_000])
+def test_grammar_is_that_of_full_counts(first_rule):
+    rng = np.random.default_rng(23)
+    for size in (3, 40, 400):
+        for _ in range(20):
+            docs = [rng.integers(0, rng.integers(1, 6), rng.integers(1, size)) for _ in range(4)]
+            starts = np.cumsum([0, *map(len, docs)])[:-1]
+            symbols, at, left, right, _ = repair.compress(np.concatenate(docs), starts, first_rule, min_count=3, most_rules=1000, per_round=4)
+            whole, rules = brute_grammar([d.tolist() for d in docs], first_rule, 3, 4)
+            assert list(zip(left.tolist(), right.tolist(), strict=True)) == rules
+            assert [x.tolist() for x in np.split(symbols, at[1:])] == whole
+
+
+def test_rounds_leave_out_what_can_t_be_frequent(monkeypatch):
+    rng = np.random.default_rng(29)
+    ids = (5_000 * rng.random(60_000) ** 3).astype(np.uint32)
+    looked, frequent = [], repair._frequent
+    monkeypatch.setattr(repair, "_frequent", lambda pair, n: looked.append(len(pair)) or frequent(pair, n))
+    symbols, *_ = repair.compress(ids, np.zeros(1, np.int64), 50_257, per_round=64)
+    assert len(looked) > 4 and sum(looked) < 0.5 * len(looked) * len(symbols)
+
+
+def test_a_rule_of_itself_is_refused(encoder):
+    block = repair.Block(repair.encode_block([1], [np.array([5, 6] * 40, np.uint32)], 50_257))
+    block.right[-1] = block.first_rule + len(block.right) - 1
+    with pytest.raises(ValueError):
+        block.expansions()
+
+
 def test_token_output(spark, encoder):
     rng = random.Random(4)
     texts = [prose(rng, rng.choice([0, 3, 60, 200])) for _ in range(80)] + [None]
