@@ -97,43 +97,54 @@ def ranked(pairs: DataFrame, score: Column, top: int) -> DataFrame:
     return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
 
 
-def rarest_tokens(s1: DataFrame, pool: DataFrame, count: int = 5) -> DataFrame:
-    """s1_entity_id, country, key, df: each s1 row's address tokens that are rarest in the pool; an unseen token is the
-    rarest of all, so it takes a place."""
-    left, right = _sides(s1, pool, _country() | {"key": F.explode("address_tokens")})
-    df = right.groupBy("country", "key").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("s1_entity_id", "country").orderBy(F.coalesce("df", F.lit(0)), "key")
-    return left.join(df, ["country", "key"], "left").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= count).drop("place")
+def _tasks(df: DataFrame) -> int:
+    """How many tasks there are for work that few bytes hold."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
 
-def numbered(records: DataFrame) -> DataFrame:
-    """entity_id, source, no: distinct ids with numbers in the same order, so pairs of numbers can be counted and ranked in
-    place of pairs of ids."""
-    ids = records.select("entity_id", "source").distinct().repartitionByRange("entity_id", "source").sortWithinPartitions("entity_id", "source")
-    return stage.materialize(ids.withColumn("no", F.monotonically_increasing_id()), "numbered")
+def alike(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records that address paths can't tell apart are one: no, n (how many ids), country, house, key_name (its first three
+    characters), address_tokens, a row for each row that an id has; and no, entity_id, source of the ids."""
+    rows = records.select("entity_id", "source", F.struct("country", F.lower("house").alias("house"), F.substring("key_name", 1, 3).alias("key_name"), F.array_sort("address_tokens").alias("address_tokens")).alias("row"))
+    ids = stage.materialize(rows.groupBy("entity_id", "source").agg(F.sort_array(F.collect_list("row")).alias("rows")), "address-rows")
+    forms = stage.materialize(ids.groupBy("rows").agg(F.count("*").alias("n")).withColumn("no", F.monotonically_increasing_id()), "address-forms")
+    return forms.select("no", "n", F.explode("rows").alias("row")).select("no", "n", "row.*"), ids.join(forms, "rows").select("no", "entity_id", "source")
 
 
 def by_address(s1: DataFrame, pool: DataFrame, how: Blocking = Blocking()) -> DataFrame:
     """House number with name prefix (3), each of the rarest address tokens (2) and house number (1): weights are summed;
-    the best `top`, equal ones by id, with score and place. Pairs are of numbers until they are ranked."""
-    s1 = s1.filter("business_address <> '' OR house IS NOT NULL")
-    names = [numbered(d) for d in (s1, pool)]
-    s1, pool = (d.join(n, ["entity_id", "source"]).drop("entity_id").withColumnRenamed("no", "entity_id") for d, n in zip((s1, pool), names, strict=True))
-    _, right = _sides(s1, pool, _country() | {"key": F.explode("address_tokens")})
+    the best `top`, equal ones by id, with score and place. Records that are alike in these have the same scores, so pairs
+    are of numbers of such forms; of a form of the pool only its first `top` ids by order can come among the best."""
+    (s1, ask), (pool, ids) = alike(s1.filter("business_address <> '' OR house IS NOT NULL")), alike(pool)
+    mine, theirs = s1.withColumnRenamed("no", "x"), pool.withColumnRenamed("no", "y")
+    keyed = lambda d, no, key: d.select(no, "n", "country", *[c.alias(k) for k, c in key.items()]).filter(" AND ".join(f"{k} <> ''" for k in ("country", *key)))
+
+    def met(key: dict[str, Column]) -> DataFrame:
+        """Pairs that agree in all keys, a row for each, for keys that at most `token_df` pool rows have."""
+        left, right, names = keyed(mine, "x", key).drop("n"), keyed(theirs, "y", key), ["country", *key]
+        small = right.groupBy(*names).agg(F.sum("n").alias("bucket")).filter(F.col("bucket") <= how.token_df).drop("bucket")
+        return left.join(small, names).join(right.drop("n"), names)
+
+    token = {"key": F.explode("address_tokens")}
+    left, right = keyed(mine, "x", token).drop("n"), keyed(theirs, "y", token)
+    # an unseen token is the rarest of all, so it takes a place
+    df = right.groupBy("country", "key").agg(F.sum("n").alias("df"))
+    order = Window.partitionBy("x", "country").orderBy(F.coalesce("df", F.lit(0)), "key")
+    rarest = left.join(df, ["country", "key"], "left").withColumn("place", F.row_number().over(order)).filter((F.col("place") <= how.rarest) & (F.col("df") <= how.token_df)).select("x", "country", "key")
     # the number of tasks is given, as few tokens can have many pairs
-    spark = s1.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    rarest = rarest_tokens(s1, pool, how.rarest).filter(F.col("df") <= how.token_df).drop("df")
-    by_token = rarest.repartition(parts, "country", "key").join(right.repartition(parts, "country", "key"), ["country", "key"])
-    paths = [(by_house_and_prefix(s1, pool, 3, how.token_df), 3), (by_token, 2), (by_house(s1, pool, how.token_df), 1)]
-    first, *rest = [p.select("s1_entity_id", "candidate_entity_id", F.lit(w).alias("weight")) for p, w in paths]
+    parts = _tasks(s1)
+    by_token = rarest.repartition(parts, "country", "key").join(right.drop("n").repartition(parts, "country", "key"), ["country", "key"])
+    house, prefix = {"house": F.col("house")}, {"prefix": F.col("key_name")}
+    first, *rest = [p.select("x", "y", F.lit(w).alias("weight")) for p, w in ((met(house | prefix), 3), (by_token, 2), (met(house), 1))]
     for p in rest:
         first = first.unionByName(p)
-    best = ranked(first.groupBy("s1_entity_id", "candidate_entity_id").agg(F.sum("weight").alias("score")), F.col("score"), how.top)
-    x, y = names
-    out = best.join(x.select(F.col("no").alias("s1_entity_id"), F.col("entity_id").alias("x")), "s1_entity_id")
-    out = out.join(y.select(F.col("no").alias("candidate_entity_id"), F.col("entity_id").alias("y"), F.col("source").alias("candidate_source")), "candidate_entity_id")
-    return out.select(F.col("x").alias("s1_entity_id"), F.col("y").alias("candidate_entity_id"), "candidate_source", "score", "place")
+    scores = first.groupBy("x", "y").agg(F.sum("weight").alias("score"))
+    nth = F.row_number().over(Window.partitionBy("no").orderBy("entity_id", "source"))
+    held = ids.withColumn("nth", nth).filter(F.col("nth") <= how.top).select(F.col("no").alias("y"), F.col("entity_id").alias("candidate_entity_id"), F.col("source").alias("candidate_source"))
+    order = Window.partitionBy("x").orderBy(F.desc("score"), "candidate_entity_id", "candidate_source")
+    best = scores.join(held, "y").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= how.top)
+    return ask.select(F.col("no").alias("x"), F.col("entity_id").alias("s1_entity_id")).join(best, "x").select(*PAIR, "score", "place")
 
 
 def by_name_tokens(s1: DataFrame, pool: DataFrame, how: Blocking = Blocking()) -> DataFrame:
@@ -255,8 +266,9 @@ def candidates(s1: DataFrame, pool: DataFrame, how: Blocking = Blocking()) -> Da
 
 
 def prepared(records: DataFrame, how: Blocking = Blocking()) -> DataFrame:
-    """`prepare`, written to the shared folder and read again: channels read its columns, not the records."""
-    return stage.materialize(prepare(records, how), "prepared")
+    """`prepare`, written to the shared folder and read again: channels read its columns, not the records. Records are dealt
+    to all cores, as few bytes are few tasks of a reader but hold much work."""
+    return stage.materialize(prepare(records.repartition(_tasks(records)), how), "prepared")
 
 
 def generate(s1: DataFrame, s2: DataFrame, s3: DataFrame | None = None, how: Blocking = Blocking()) -> DataFrame:

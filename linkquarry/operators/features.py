@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed, text
-from ..sources import tables
+from ..sources import stage, tables
 
 FEATURES = fixed.MODEL_FEATURES
 IDENTITY = ("s1_entity_id", "candidate_entity_id", "candidate_source")
@@ -18,58 +18,99 @@ IDENTITY = ("s1_entity_id", "candidate_entity_id", "candidate_source")
 TRAINING_ROW = ", ".join([*(f"{c} string" for c in IDENTITY), *(f"{f} double" for f in FEATURES), "label int"])
 
 
+#: Features that two names, or two addresses and house numbers, have whatever their records are.
+OF_NAMES = ("name_token_jaccard", "name_token_overlap_count", "name_char_ngram_cosine", "name_edit_similarity", "name_length_ratio", "name_exact_match", "name_first_token_match")
+OF_ADDRESSES = ("address_token_jaccard", "address_token_overlap_count", "address_house_number_match", "address_edit_similarity", "address_length_ratio", "address_missing")
+#: Tables of at most so many pairs of names are sent to all tasks.
+SENT_PAIRS = 300_000
+
+
 def describe(records: DataFrame, compose: bool = True) -> DataFrame:
-    """entity_id, source, country and what features need of a record. Prepared records keep the forms that they have."""
+    """entity_id, source, country, name, address, house of a record. Prepared records keep the forms that they have."""
     if "norm_name" in records.columns:
-        out = records.select("entity_id", "source", "country", F.col("norm_name").alias("name"), F.col("norm_address").alias("address"), "house")
-        return _described(out)
+        return records.select("entity_id", "source", "country", F.col("norm_name").alias("name"), F.col("norm_address").alias("address"), "house")
     name, address = text.normalize_name("business_name", compose=compose), text.normalize_address("business_address", compose=compose)
-    out = records.select("entity_id", "source", "country", name.alias("name"), address.alias("address"), text.house_number("business_address", compose=compose).alias("house"))
-    return _described(out)
+    return records.select("entity_id", "source", "country", name.alias("name"), address.alias("address"), text.house_number("business_address", compose=compose).alias("house"))
+
 
+def _forms(records: DataFrame, columns: list[str], number: str) -> DataFrame:
+    """The distinct values of columns with numbers."""
+    return stage.materialize(records.select(*columns).distinct().withColumn(number, F.monotonically_increasing_id()), number)
 
-def _described(out: DataFrame) -> DataFrame:
-    grams = [text.grams(F.col("name"), n).alias(f"grams{n}") for n in (2, 3)]
-    return out.select("*", F.array_distinct(text.name_tokens(F.col("name"))).alias("name_set"), F.get(text.name_tokens(F.col("name")), F.lit(0)).alias("first_token"), text.address_tokens(F.col("address")).alias("address_set"), *grams)
 
+def _both(met: DataFrame, forms: DataFrame, number: str) -> DataFrame:
+    """Each pair of numbers that occurs once, with the forms of both sides as a_ and b_ columns."""
+    side = lambda p: forms.select(*[F.col(c).alias(f"{p}_{c}") for c in forms.columns])
+    a, b = f"a_{number}", f"b_{number}"
+    return met.select(a, b).distinct().join(side("a"), a).join(side("b"), b)
 
-def pair_features(pairs: DataFrame, s1: DataFrame, pool: DataFrame, compose: bool = True) -> DataFrame:
+
+def pair_features(pairs: DataFrame, s1: DataFrame, pool: DataFrame, compose: bool = True, links: DataFrame | None = None) -> DataFrame:
     """pairs (the identity columns) with records of both sides -> identity and features, a row for each pair. A pair whose
-    record is missing, or whose source is neither S2 nor S3, raises when the result is read."""
-    drop = lambda d, side, key: d.select(*[F.col(c).alias(f"{side}_{c}") for c in d.columns if c not in key])
-    a = drop(describe(s1, compose), "a", ())
-    b = drop(describe(pool, compose), "b", ())
+    record is missing, or whose source is neither S2 nor S3, raises.
+
+    Pairs are of numbers of names and of addresses; what two of them give is found once and comes back by their numbers.
+    With links (entity_id, links: what true links have in common, as an array) there is a label: 1 where two records have
+    one in common."""
+    records = stage.materialize(describe(s1, compose).withColumn("side", F.lit("a")).unionByName(describe(pool, compose).withColumn("side", F.lit("b"))), "described")
+    names, addresses = _forms(records, ["name"], "n"), _forms(records, ["address", "house"], "d")
+    country = lambda x: F.lower(text.strip(text.filled(x)))
+    rows = records.join(names.withColumnRenamed("name", "_name"), F.col("name").eqNullSafe(F.col("_name")))
+    rows = rows.join(addresses.select("d", F.col("address").alias("_address"), F.col("house").alias("_house")), F.col("address").eqNullSafe(F.col("_address")) & F.col("house").eqNullSafe(F.col("_house")))
+    rows = rows.select("side", "entity_id", "source", country("country").alias("country"), "n", "d")
+    if links is not None:
+        rows = rows.join(links, "entity_id", "left")
+    rows = stage.materialize(rows, "numbered")
+    side = lambda p: rows.filter(F.col("side") == p).select(*[F.col(c).alias(f"{p}_{c}") for c in rows.columns if c != "side"])
     known = F.col("candidate_source").isin("S2", "S3")
-    rows = pairs.select(*IDENTITY).join(a, F.col("s1_entity_id") == F.col("a_entity_id"), "left")
-    rows = rows.join(b, (F.col("candidate_entity_id") == F.col("b_entity_id")) & (F.col("candidate_source") == F.col("b_source")), "left")
-    rows = rows.filter(F.assert_true(known, F.concat(F.lit("unknown source: "), F.coalesce("candidate_source", F.lit("null")))).isNull())
-    rows = rows.filter(F.assert_true(F.col("a_entity_id").isNotNull() & F.col("b_entity_id").isNotNull(), F.concat(F.lit("no record: "), F.concat_ws(" ", "s1_entity_id", "candidate_entity_id"))).isNull())
+    met = pairs.select(*IDENTITY).join(side("a"), F.col("s1_entity_id") == F.col("a_entity_id"), "left")
+    met = met.join(side("b"), (F.col("candidate_entity_id") == F.col("b_entity_id")) & (F.col("candidate_source") == F.col("b_source")), "left")
+    met = met.filter(F.assert_true(known, F.concat(F.lit("unknown source: "), F.coalesce("candidate_source", F.lit("null")))).isNull())
+    met = met.filter(F.assert_true(F.col("a_entity_id").isNotNull() & F.col("b_entity_id").isNotNull(), F.concat(F.lit("no record: "), F.concat_ws(" ", "s1_entity_id", "candidate_entity_id"))).isNull())
+    flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
+    label = {} if links is None else {"label": flag(F.arrays_overlap("a_links", "b_links")).cast("int")}
+    same = {"country_match": flag((F.col("a_country") == F.col("b_country")) & (F.col("a_country") != ""))}
+    same |= {f"source_is_{s.lower()}": flag(F.upper(text.strip(F.col("candidate_source"))) == s) for s in ("S2", "S3")}
+    met = stage.materialize(met.select(*IDENTITY, "a_n", "b_n", "a_d", "b_d", *[c.alias(k) for k, c in (same | label).items()]), "pair-forms")
+    by_name = stage.materialize(_name_features(_both(met, _name_parts(names), "n")), "name-features")
+    by_address = stage.materialize(_address_features(_both(met, addresses.withColumn("set", text.address_tokens(F.col("address"))), "d")), "address-features")
+    out = met.join(F.broadcast(by_name) if by_name.count() <= SENT_PAIRS else by_name, ["a_n", "b_n"]).join(by_address, ["a_d", "b_d"])
+    twice = {f"{p}_length_ratio_context": F.col(f"{p}_length_ratio") for p in ("name", "address")}
+    return out.select(*IDENTITY, *(twice.get(f, F.col(f)).alias(f) for f in FEATURES), *label)
+
+
+def _name_parts(names: DataFrame) -> DataFrame:
+    tokens = text.name_tokens(F.col("name"))
+    return names.select("n", "name", F.array_distinct(tokens).alias("set"), F.get(tokens, F.lit(0)).alias("first"), *[text.grams(F.col("name"), n).alias(f"grams{n}") for n in (2, 3)])
+
+
+def _name_features(rows: DataFrame) -> DataFrame:
     c = {n: F.col(n) for n in rows.columns}
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
-    name_ratio, address_ratio = text.length_ratio(c["a_name"], c["b_name"]), text.length_ratio(c["a_address"], c["b_address"])
-    cosine = (text.gram_cosine(c["a_name"], c["b_name"], c["a_grams2"], c["b_grams2"]) + text.gram_cosine(c["a_name"], c["b_name"], c["a_grams3"], c["b_grams3"])) / 2
-    country = lambda x: F.lower(text.strip(text.filled(x)))
     value = {
-        "name_token_jaccard": text.jaccard(c["a_name_set"], c["b_name_set"]),
-        "name_token_overlap_count": text.overlap(c["a_name_set"], c["b_name_set"]),
-        "name_char_ngram_cosine": cosine,
+        "name_token_jaccard": text.jaccard(c["a_set"], c["b_set"]),
+        "name_token_overlap_count": text.overlap(c["a_set"], c["b_set"]),
+        "name_char_ngram_cosine": (text.gram_cosine(c["a_name"], c["b_name"], c["a_grams2"], c["b_grams2"]) + text.gram_cosine(c["a_name"], c["b_name"], c["a_grams3"], c["b_grams3"])) / 2,
         "name_edit_similarity": text.edit_similarity(c["a_name"], c["b_name"]),
-        "name_length_ratio": name_ratio,
+        "name_length_ratio": text.length_ratio(c["a_name"], c["b_name"]),
         "name_exact_match": flag((c["a_name"] == c["b_name"]) & (c["a_name"] != "")),
-        "name_first_token_match": flag(c["a_first_token"] == c["b_first_token"]),
-        "address_token_jaccard": text.jaccard(c["a_address_set"], c["b_address_set"]),
-        "address_token_overlap_count": text.overlap(c["a_address_set"], c["b_address_set"]),
+        "name_first_token_match": flag(c["a_first"] == c["b_first"]),
+    }
+    return rows.select("a_n", "b_n", *(value[f].cast("double").alias(f) for f in OF_NAMES))
+
+
+def _address_features(rows: DataFrame) -> DataFrame:
+    c = {n: F.col(n) for n in rows.columns}
+    flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
+    value = {
+        "address_token_jaccard": text.jaccard(c["a_set"], c["b_set"]),
+        "address_token_overlap_count": text.overlap(c["a_set"], c["b_set"]),
         "address_house_number_match": flag(c["a_house"] == c["b_house"]),
         "address_edit_similarity": text.edit_similarity(c["a_address"], c["b_address"]),
-        "address_length_ratio": address_ratio,
+        "address_length_ratio": text.length_ratio(c["a_address"], c["b_address"]),
         "address_missing": flag((c["a_address"] == "") | (c["b_address"] == "")),
-        "country_match": flag((country(c["a_country"]) == country(c["b_country"])) & (country(c["a_country"]) != "")),
-        "source_is_s2": flag(F.upper(text.strip(c["candidate_source"])) == "S2"),
-        "source_is_s3": flag(F.upper(text.strip(c["candidate_source"])) == "S3"),
-        "name_length_ratio_context": name_ratio,
-        "address_length_ratio_context": address_ratio,
     }
-    return rows.select(*IDENTITY, *(value[f].cast("double").alias(f) for f in FEATURES))
+    return rows.select("a_d", "b_d", *(value[f].cast("double").alias(f) for f in OF_ADDRESSES))
 
 
 def model_features(df: DataFrame) -> DataFrame:

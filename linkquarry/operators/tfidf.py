@@ -37,15 +37,23 @@ def grams(text: Column, low: int = 3, high: int = 4) -> Column:
     return F.flatten(F.transform(words, of))
 
 
+def pool_counts(pool: DataFrame) -> DataFrame:
+    """country, term, tf, n: as `counts`, for all ids with the same texts at once; n is how many ids those are."""
+    ids = pool.groupBy("entity_id", "country").agg(F.sort_array(F.collect_list("text")).alias("texts"))
+    forms = ids.groupBy("country", "texts").agg(F.count("*").alias("n"))
+    terms = forms.select("country", "texts", "n", F.explode(F.flatten(F.transform("texts", lambda t: grams(t)))).alias("term"))
+    return terms.groupBy("country", "texts", "n", "term").agg(F.count("*").alias("tf")).drop("texts")
+
+
 def counts(rows: DataFrame, low: int = 3, high: int = 4) -> DataFrame:
     """entity_id, country, term, tf from entity_id, country, text."""
     return rows.select("entity_id", "country", F.explode(grams(F.col("text"), low, high)).alias("term")).groupBy("entity_id", "country", "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(pool_counts: DataFrame, documents: DataFrame, min_df: int = 2, most: int = 40_000) -> DataFrame:
+def vocabulary(held: DataFrame, documents: DataFrame, min_df: int = 2, most: int = 40_000) -> DataFrame:
     """country, term, idf: terms of min_df pool rows (one, if a country has fewer than five rows or no such term); of those
     the `most` with the largest total count."""
-    terms = pool_counts.groupBy("country", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    terms = held.groupBy("country", "term").agg(F.sum("n").alias("df"), F.sum(F.col("tf") * F.col("n")).alias("total"))
     enough = terms.groupBy("country").agg(F.max("df").alias("max_df"))
     need = documents.join(enough, "country").select("country", "n", F.when((F.col("n") < 5) | (F.col("max_df") < min_df), 1).otherwise(min_df).alias("need"))
     kept = terms.join(need, "country").filter(F.col("df") >= F.col("need"))
@@ -112,8 +120,7 @@ def similar(s1: DataFrame, pool: DataFrame, top: int = 40, least: float = 0.35,
     against each other. A pool id that occurs twice with different texts counts by its best one.
     """
     docs = pool.groupBy("country").agg(F.count("*").alias("n"))
-    held = counts(pool)
-    vocab = stage.materialize(vocabulary(held, docs, min_df, most_terms), "vocabulary")
+    vocab = stage.materialize(vocabulary(pool_counts(pool), docs, min_df, most_terms), "vocabulary")
     both = s1.select("country", "text", F.lit(True).alias("s")).unionByName(pool.select("country", "text", F.lit(False).alias("s")))
     texts = both.groupBy("country", "text").agg(F.max("s").alias("in_s1"), F.max(~F.col("s")).alias("in_pool"))
     texts = stage.materialize(texts.withColumn("text_id", F.monotonically_increasing_id()), "texts")

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -302,3 +304,93 @@ def test_difficulty_of_no_links(spark):
     none = profile.linked_by(spark.createDataFrame([], RECORD + ", key string"), ["key"])
     row = profile.difficulty(none).first()
     assert row["pairs"] == 0 == row["similar_names"] and row["name_dice"] is None
+
+
+def boosting_rows(spark, n=1500):
+    """Feature rows of few values, so that all of them are bins; labels follow two features with faults."""
+    rows = []
+    for i in range(n):
+        x = [(i * (3 + j) // 7 + j * i) % (2 + j) / 4 for j in range(len(features.FEATURES))]
+        rows.append((f"S1-{i % 97}", f"S2-{i}", "S2", *x, int((x[4] + x[9] > 1.5) != (i % 13 == 0))))
+    return spark.createDataFrame(rows, features.TRAINING_ROW)
+
+
+def scores(model, rows):
+    return {r.candidate_entity_id: r.match_probability for r in learning.predict(model, rows.drop("label")).collect()}
+
+
+def test_boosting_on_distinct_rows_is_spark_s(spark, monkeypatch):
+    """The same trees as Spark fits on all rows, where neither draws any rows or features."""
+    rows = boosting_rows(spark)
+    held = F.crc32("s1_entity_id") % 4 == 0
+    how = learning.Boosting(trees=12, rate=0.1, depth=4, rows=1.0, columns="all")
+    found = []
+    for most in (learning.MOST_DISTINCT, 0):
+        monkeypatch.setattr(learning, "MOST_DISTINCT", most)
+        model = learning.train(rows.filter(~held), rows.filter(held), how)
+        found.append((model.stages[-1].getNumTrees, scores(model, rows), model.stages[-1].trees))
+    (n, mine, trees), (m, spark_s, others) = found
+    assert n == m > 3 and mine == {k: pytest.approx(v) for k, v in spark_s.items()} and len(set(mine.values())) > 20
+    assert [t.numNodes for t in trees] == [t.numNodes for t in others]
+
+
+def test_scores_don_t_depend_on_how_rows_are_dealt(spark, tmp_path):
+    rows = boosting_rows(spark)
+    how = learning.Boosting(trees=5, depth=3)
+    one = scores(learning.train(rows.repartition(1), None, how, str(tmp_path / "model")), rows)
+    assert one == scores(learning.train(rows.repartition(5, "candidate_entity_id"), None, how), rows) == scores(learning.load_model(spark, str(tmp_path / "model")), rows)
+    assert one != scores(learning.train(rows, None, learning.Boosting(trees=5, depth=3, seed=1)), rows)
+
+
+def test_cuts_are_between_few_values_and_at_equal_shares_of_many(spark):
+    cuts = learning.split_points(spark.range(6400).select(*[(F.col("id") % 3 if j else F.col("id") / 6400).cast("double").alias(f) for j, f in enumerate(features.FEATURES)]))
+    assert len(cuts[0]) == learning.BINS - 1 and cuts[0] == pytest.approx([k / 32 for k in range(1, 32)], abs=1e-3) and all(list(c) == [0.5, 1.5] for c in cuts[1:])
+    none = learning.split_points(spark.createDataFrame([(0.0,) * 18, (-0.0,) * 18], ", ".join(f"{f} double" for f in features.FEATURES)))
+    assert [len(c) for c in none] == [0] * 18
+
+
+def test_address_paths_of_equal_records_are_those_of_each(spark):
+    """Records that are alike, and ids that have several rows, against a loop over all pairs of rows."""
+    rows = [(f"S{1 + i % 3}-{i // (2 if i % 5 == 0 else 1)}", ["Acme", "Acorn", "Bolt"][i % 3 if i % 2 else 0], ["12 Main St", "12 Oak Rd", "", "7 Main St"][i // 3 % 4], "US" if i % 6 else "FR", f"S{1 + i % 3}") for i in range(90)]
+    ready = blocking.prepare(spark.createDataFrame(rows, RECORD)).localCheckpoint()
+    how = blocking.Blocking(token_df=25, rarest=2, top=6)
+    got = {(r.s1_entity_id, r.candidate_entity_id, r.candidate_source, r.score, r.place) for r in blocking.by_address(ready.filter("source = 'S1'"), ready.filter("source <> 'S1'"), how).collect()}
+    all_rows = ready.collect()
+    mine, pool = ([r for r in all_rows if (r.source == "S1") == s] for s in (True, False))
+    mine = [r for r in mine if r.business_address or r.house]
+    house = lambda r: (r.country, r.house.lower()) if r.house else None
+    both = lambda r: (*house(r), r.key_name[:3]) if r.house else None
+    small = lambda key: {k for k, n in Counter(map(key, pool)).items() if k and n <= how.token_df}
+    df = Counter((r.country, t) for r in pool for t in r.address_tokens)
+    tokens = {k: sorted((df[k[1], t], t) for r in mine if (r.entity_id, r.country) == k for t in r.address_tokens)[: how.rarest] for k in {(r.entity_id, r.country) for r in mine}}
+    weight = Counter()
+    for key, w, kept in ((both, 3, small(both)), (house, 1, small(house))):
+        for a in mine:
+            for b in pool:
+                weight[a.entity_id, b.entity_id, b.source] += w * (key(a) in kept and key(a) == key(b))
+    for (a, country), rarest in tokens.items():
+        for n, t in rarest:
+            for b in pool:
+                weight[a, b.entity_id, b.source] += 2 * (n <= how.token_df and b.country == country and t in b.address_tokens)
+    want = set()
+    for a in {a for a, _, _ in weight}:
+        best = sorted((-w, b, s) for (x, b, s), w in weight.items() if x == a and w)[: how.top]
+        want |= {(a, b, s, -w, i + 1) for i, (w, b, s) in enumerate(best)}
+    assert got == want and len(got) > 50
+
+
+def test_labels_by_what_links_have_in_common(spark, tmp_path):
+    parts = [(k, ["n", "m", None][k % 5 % 3] and f"n{k % 4}", "Brand#1" if k % 7 else None, "TIN", k % 9) for k in range(1, 80)] + [(6, "n3", "Brand#1", "TIN", 2)]
+    spark.createDataFrame(parts, PART).write.parquet(f"{tmp_path}/part.parquet")
+    p = catalog.Parts(spark, str(tmp_path))
+    ids = lambda rows: sorted((r.s1_entity_id, r.candidate_entity_id, r.label) for r in rows.collect())
+    both = ids(features.pair_features(p.pairs, *p.sides, links=p.link_keys)), ids(features.labelled(p.features, p.truth_lists))
+    assert both[0] == both[1] and {x[2] for x in both[0]} == {0, 1}
+
+
+def test_vocabulary_of_equal_texts_is_that_of_each(spark):
+    rows = [(f"{i // 2 if i % 4 == 0 else i}", "US" if i % 3 else "FR", ["silver ring", "silver", "ring ring", ""][i % 4]) for i in range(40)]
+    pool = spark.createDataFrame(rows, "entity_id string, country string, text string")
+    each = tfidf.counts(pool).withColumn("n", F.lit(1))
+    total = lambda d: {tuple(r) for r in d.groupBy("country", "term").agg(F.sum("n"), F.sum(F.col("tf") * F.col("n"))).collect()}
+    assert total(tfidf.pool_counts(pool)) == total(each) and each.count() > 50
