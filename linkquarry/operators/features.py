@@ -22,7 +22,7 @@ TRAINING_ROW = ", ".join([*(f"{c} string" for c in IDENTITY), *(f"{f} double" fo
 OF_NAMES = ("name_token_jaccard", "name_token_overlap_count", "name_char_ngram_cosine", "name_edit_similarity", "name_length_ratio", "name_exact_match", "name_first_token_match")
 OF_ADDRESSES = ("address_token_jaccard", "address_token_overlap_count", "address_house_number_match", "address_edit_similarity", "address_length_ratio", "address_missing")
 #: Tables of at most so many pairs of names are sent to all tasks.
-SENT_PAIRS = 300_000
+SENT_PAIRS = 50_000
 
 
 def describe(records: DataFrame, compose: bool = True) -> DataFrame:

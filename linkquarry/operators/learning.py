@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -20,7 +20,7 @@ from .features import FEATURES, IDENTITY, model_features
 BINS = 32
 PER_KEY = 12
 KEYS = [f"k{i}" for i in range(-(-len(FEATURES) // PER_KEY))]
-#: So many distinct binned rows the driver boosts on (some 150 bytes each); more are left to Spark's own loop over all rows.
+#: So many distinct binned rows a task boosts on (some 200 bytes each); more are left to Spark's own loop over all rows.
 MOST_DISTINCT = 2_000_000
 
 
@@ -63,7 +63,7 @@ def train(training: DataFrame, validation: DataFrame | None = None, how: Boostin
     if distinct.count() > MOST_DISTINCT:
         model = Pipeline(stages=[assembler, gbt]).fit(stage.materialize(rows, "boosting"))
     else:
-        model = PipelineModel([assembler, spark_model(gbt, *boost(distinct, cuts, how, validation is not None))])
+        model = PipelineModel([assembler, spark_model(gbt, boost(distinct, cuts, how, validation is not None), cuts, how.rate)])
     if path:
         model.write().overwrite().save(path)
     return model
@@ -136,21 +136,40 @@ class Tree:
         return np.divide(self.stats[:, 1], self.stats[:, 0], out=np.zeros(len(self.stats)), where=self.stats[:, 0] > 0)
 
 
-def boost(distinct: DataFrame, cuts: list[np.ndarray], how: Boosting, validate: bool) -> tuple[list[Tree], list[np.ndarray], np.ndarray]:
-    """The trees of Spark's boosting for log loss (labels -1 and 1, the first tree with weight 1) and their leaves."""
-    table = distinct.toPandas().sort_values(KEYS, ignore_index=True)
-    keys = [table[k].to_numpy() for k in KEYS]
-    bins = np.stack([(keys[j // PER_KEY] >> (5 * (j % PER_KEY)) & (BINS - 1)).astype(np.uint8) for j in range(len(FEATURES))])
-    t, h = table[["t0", "t1"]].to_numpy().T, table[["h0", "h1"]].to_numpy().T
+def boost(distinct: DataFrame, cuts: list[np.ndarray], how: Boosting, validate: bool) -> list[Tree]:
+    """The trees of Spark's boosting for log loss, grown in a task; the driver sees their nodes alone."""
+    import pyarrow as pa
+
+    names = [f.name for f in fields(Tree)]
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        column = lambda c: table.column(c).to_numpy()
+        order = np.lexsort([column(k) for k in KEYS])
+        keys = [column(k)[order] for k in KEYS]
+        bins = np.stack([(keys[j // PER_KEY] >> (5 * (j % PER_KEY)) & (BINS - 1)).astype(np.uint8) for j in range(len(FEATURES))])
+        t, h = (np.stack([column(f"{c}{y}")[order] for y in (0, 1)]) for c in "th")
+        for m, tree in enumerate(boosted(bins, [len(c) for c in cuts], t, h, how, validate)):
+            yield pa.record_batch({"tree": np.full(len(tree.gain), m, np.int32)} | {c: getattr(tree, c) for c in names[:3]} | {c: tree.stats[:, i] for i, c in enumerate("nst")})
+
+    nodes = distinct.coalesce(1).mapInArrow(grown, "tree int, feature long, cut long, gain double, n double, s double, t double").toArrow()
+    number = nodes.column("tree").to_numpy()
+    of = {c: nodes.column(c).to_numpy() for c in nodes.column_names}
+    stats = np.stack([of[c] for c in "nst"], axis=1)
+    return [Tree(*(of[c][number == m] for c in names[:3]), stats[number == m]) for m in range(number.max() + 1)]
+
+
+def boosted(bins: np.ndarray, sizes: list[int], t: np.ndarray, h: np.ndarray, how: Boosting, validate: bool) -> list[Tree]:
+    """Trees from the bins of distinct rows and their counts by label (labels are -1 and 1, the first tree has weight 1)."""
     random = np.random.default_rng(how.seed)
-    score = np.zeros(len(table))
+    score = np.zeros(bins.shape[1])
     trees: list[Tree] = []
     best, size = np.inf, 1
     for m in range(how.trees):
         drawn = random.binomial(t, how.rows) if how.rows < 1 else t
         y = np.array([[-1.0], [1.0]])
         target = np.broadcast_to(y, t.shape) if not m else 4 * y / (1 + np.exp(2 * y * score))
-        tree, leaf = grow(bins, [len(c) for c in cuts], drawn, target, how, random)
+        tree, leaf = grow(bins, sizes, drawn, target, how, random)
         trees.append(tree)
         score += tree.values()[leaf] * (how.rate if m else 1.0)
         if validate:
@@ -159,8 +178,7 @@ def boost(distinct: DataFrame, cuts: list[np.ndarray], how: Boosting, validate:
                 break
             if error < best:
                 best, size = error, m + 1
-    trees = trees[:size] if validate else trees
-    return trees, cuts, np.where(np.arange(len(trees)) == 0, 1.0, how.rate)
+    return trees[:size] if validate else trees
 
 
 def grow(bins: np.ndarray, sizes: list[int], drawn: np.ndarray, target: np.ndarray, how: Boosting, random: np.random.Generator) -> tuple[Tree, np.ndarray]:
@@ -223,7 +241,7 @@ def columns_per_node(columns: str) -> int:
     return min(int(columns), len(FEATURES)) if columns.isdigit() else int(np.ceil(float(columns) * len(FEATURES)))
 
 
-def spark_model(gbt: GBTClassifier, trees: list[Tree], cuts: list[np.ndarray], weights: np.ndarray) -> GBTClassificationModel:
+def spark_model(gbt: GBTClassifier, trees: list[Tree], cuts: list[np.ndarray], rate: float) -> GBTClassificationModel:
     """The same trees as a model of Spark's, which can be saved and applied as one that Spark fitted."""
     gateway = SparkSession.active().sparkContext._gateway
     jvm = gateway.jvm
@@ -247,7 +265,7 @@ def spark_model(gbt: GBTClassifier, trees: list[Tree], cuts: list[np.ndarray], w
 
     regression = jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
     made = [regression(f"{gbt.uid}_tree{i}", build(t, t.values(), 1), len(FEATURES)) for i, t in enumerate(trees)]
-    java = jvm.org.apache.spark.ml.classification.GBTClassificationModel(gbt.uid, array(regression, made), array(jvm.double, weights.tolist()), len(FEATURES), 2)
+    java = jvm.org.apache.spark.ml.classification.GBTClassificationModel(gbt.uid, array(regression, made), array(jvm.double, [rate if i else 1.0 for i in range(len(made))]), len(FEATURES), 2)
     model = GBTClassificationModel(java)
     model._resetUid(gbt.uid)
     return gbt._copyValues(model)
